@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -308,7 +309,7 @@ def codec(path: str) -> Codec:
 
 def _slices(values: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text, so that a batch of long texts is worked on in parts."""
-    lengths = pa.compute.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
     for i, n in enumerate(lengths):
         if size and size + n > most:
