@@ -20,11 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from nearfield.llm.common import slices
+
 #: Rank file of the vocabulary: lines of base64 token and rank.
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before merges: contractions, then runs of letters, digits, other signs (each with one space before), white space.
@@ -307,19 +308,6 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def _slices(values: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``most`` bytes of text, so that a batch of long texts is worked on in parts."""
-    lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
-    at, size = 0, 0
-    for i, n in enumerate(lengths):
-        if size and size + n > most:
-            yield at, i
-            at, size = i, 0
-        size += int(n)
-    if at < len(lengths):
-        yield at, len(lengths)
-
-
 def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and decode them again: (doc_id, n_tokens, token_ids, round_trip), one row for each row.
 
@@ -338,7 +326,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 counts, same, flat = [], [], []
                 for text in texts.slice(lo, hi - lo).to_pylist():
                     if text is None:

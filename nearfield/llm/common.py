@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -117,3 +118,62 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, n
     for i, c in enumerate(group):
         on = on & same(F.col(c), F.col(f"g{i}"))
     return kept.join(totals, on, "left").withColumn("before", F.col(local) + F.col("total")).select(*df.columns, "before")
+
+
+def digest(text: Column) -> Column:
+    """64 bits of the bytes; null for a null text."""
+    return F.when(text.isNotNull(), F.xxhash64(text))
+
+
+def slices(values: pa.Array, most: int = 1 << 21):
+    """Ranges of rows of about ``most`` bytes of text, so that a batch of long texts is worked on in parts."""
+    lengths = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    at, size = 0, 0
+    for i, n in enumerate(lengths):
+        if size and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += int(n)
+    if at < len(lengths):
+        yield at, len(lengths)
+
+
+def without(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the marked rows; ``marks`` has (doc_id, digest, one), ``one`` where a single row of them stays.
+
+    Of rows that share doc_id and text, the one whose columns hash lowest stays. Extra columns are carried.
+    """
+    key, row, id_ = fresh(docs, "digest", "row", "id")
+    keyed = docs.withColumn(key, digest(F.col(text_col)))
+    marks = marks.select(F.col("doc_id").alias("marked_id"), F.col("digest").alias("marked_digest"), "one")
+    on = (keyed[key] == marks["marked_digest"]) & same(keyed[id_col], marks["marked_id"])
+    rest = keyed.join(marks, on, "left_anti").drop(key)
+    others = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    ones = keyed.join(marks.filter("one"), on, "left_semi").groupBy(key, F.col(id_col).alias(id_)).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*others)).alias(row))
+    return rest.unionByName(ones.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of the edges (a, b), root being the least of its component; by large and small stars.
+
+    Each round is written to the shared folder. Ends when a round changes nothing; self-loops are dropped.
+    """
+    from pyspark.sql import Window as W
+
+    def state(df):
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    by_u = W.partitionBy("u")
+    now = keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = state(now)
+    while before[0]:
+        both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        large = both.withColumn("m", F.least("u", F.min("v").over(by_u))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.filter("u > v").distinct().withColumn("m", F.min("v").over(by_u))
+        stars = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        after = keep(stars.filter("a <> b").distinct(), "stars")
+        drop_kept(now)
+        now, was, before = after, before, state(after)
+        if was == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
