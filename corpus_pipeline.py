@@ -4,16 +4,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe
+from nearfield.llm import bpe, exact, mixing, quality, simhash
 from nearfield.llm.common import keep, table
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble, fitted on the labelled ones among them, doesn't reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact.drop_duplicates(docs)
+
+
+def different(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in shares of the square roots of their tokens; small ones repeat, and large ones are cut."""
+    return mixing.mixed_rows(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of what is left: (doc_id, n_tokens, token_ids, round_trip)."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("quality", good), ("exact dedup", distinct), ("near dedup", different), ("mixing", mixed), ("tokens", tokens)]
 
 #: SQL can't express the learned classifier, the fingerprints or the merges.
 ORACLE_SQL = None
@@ -25,5 +45,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = keep(docs, f"pipeline-{i}-{name}")
+            docs = keep(docs, f"pipeline-{i}-{name.replace(' ', '-')}")
     return docs

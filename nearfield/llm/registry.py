@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of ``nearfield.llm.queries``, in the order of the operators.
-MODULES = ["tokens", "selection", "quality", "near"]
+MODULES = ["tokens", "selection", "quality", "near", "texts"]
 
 Run = Callable[[SparkSession, str], DataFrame]
 
