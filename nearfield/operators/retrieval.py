@@ -21,7 +21,10 @@ def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", positi
 
 def field_postings(docs: DataFrame, fields: Mapping[str, float], id_col: str = "id") -> DataFrame:
     """(id, term, tf) with tf the sum over the fields of occurrences times the field's boost."""
-    boosted = [F.transform(tokens(F.col(f)), lambda w, b=boost: F.struct(w.alias("term"), F.lit(float(b)).alias("boost"))) for f, boost in fields.items()]
+    def boosted_terms(field: str, boost: float) -> Column:
+        return F.transform(tokens(F.col(field)), lambda w: F.struct(w.alias("term"), F.lit(float(boost)).alias("boost")))
+
+    boosted = [boosted_terms(f, boost) for f, boost in fields.items()]
     rows = docs.select(F.col(id_col).alias("id"), F.explode(F.concat(*boosted)).alias("x"))
     return rows.groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.boost").alias("tf"))
 

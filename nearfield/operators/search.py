@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
 
@@ -256,7 +257,7 @@ def diverse(hits: DataFrame, k: int = 4, weight: float = 0.5, id_col: str = "id"
 
     Adds ``mmr_rank`` from 1. Ties by higher score, then id. The hits are one group, so their number bounds the task.
     """
-    schema = hits.select("*").schema.add("mmr_rank", "int")
+    schema = T.StructType([*hits.schema.fields, T.StructField("mmr_rank", T.IntegerType())])
 
     def pick(table: pa.Table) -> pa.Table:
         ids, scores = table[id_col].to_pylist(), table["score"].to_pylist()
