@@ -103,7 +103,8 @@ def compression_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     are scored each; a document labelled twice counts once; null doc_ids have no label; an empty table gives no rows.
     Other columns aren't read.
     """
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id"))
+    # The labels grow with the documents, so they are never broadcast; as a hash table they need no sort of the texts.
+    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("good_id")).hint("shuffle_hash")
     inside = docs.join(good, docs[id_col] == F.col("good_id"), "left_semi")
     counts = [keep(word_counts(d, id_col, text_col), name) for d, name in ((inside, "domain-words"), (docs, "words"))]
     return score(docs, *[dictionary(c, size) for c in counts], id_col, text_col)
