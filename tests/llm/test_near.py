@@ -45,7 +45,8 @@ def brute_groups(rows):
     for a in keys:
         for b in keys:
             if b < a and (prints[a][0] ^ prints[b][0]).bit_count() <= simhash.RADIUS and (prints[a][1] ^ prints[b][1]).bit_count() <= simhash.CONFIRM:
-                root[find(a)] = find(b)
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
     return {i: find(i) for i in keys}
 
 
