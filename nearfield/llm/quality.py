@@ -169,10 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, id_col: st
 
 
 def _scored(docs: DataFrame, model: RuleModel, text_col: str, score: str) -> DataFrame:
-    names = fresh(docs, *[f"stat_{n}" for n in NAMES])
-    rows = docs.withColumns(dict(zip(names, (statistics(F.col(text_col))[n] for n in NAMES), strict=True)))
-    value = model.column({n: F.col(c) for n, c in zip(NAMES, names, strict=True)})
-    return rows.withColumn(score, F.when(F.length(text_col) > 0, value)).drop(*names)
+    found = statistics(F.col(text_col))
+    (name,) = fresh(docs, "statistics")
+    # Exploding one struct keeps a later filter from being pushed below, which would write out each statistic once a rule.
+    rows = docs.withColumn(name, F.explode(F.array(F.struct(*[found[n].alias(n) for n in NAMES]))))
+    value = model.column({n: F.col(name)[n] for n in NAMES})
+    return rows.withColumn(score, F.when(F.length(text_col) > 0, value)).drop(name)
 
 
 def classify(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text", cutoff: float = CUTOFF) -> DataFrame:
