@@ -31,8 +31,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before merges: contractions, then runs of letters, digits, other signs (each with one space before), white space.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries after which a table of made transitions is emptied.
-MAX_TRANSITIONS = 400_000
-MAX_WORDS = 300_000
+MAX_TRANSITIONS = 200_000
+MAX_WORDS = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
