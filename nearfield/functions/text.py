@@ -46,7 +46,7 @@ def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
         overlap = size // 4
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(step)))).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size))))
+    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size)))))
 
 
 def hashed_embedding(text: Column, dims: int = 64, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -21,7 +21,7 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 #: Modules that register queries when imported.
-MODULES: list[str] = ["search_queries", "filter_queries", "text_queries", "geo_queries", "sql_queries"]
+MODULES: list[str] = ["search_queries", "filter_queries", "text_queries", "geo_queries", "sql_queries", "engine_queries"]
 
 
 def query(name: str, sql: str | None = None):
