@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,11 +53,25 @@ def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
 
 
 def hashed_embedding(text: Column, dims: int = 64, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """A deterministic embedding without a model: words hashed to a dimension and a sign, counted, scaled to length 1."""
-    from nearfield.functions.vectors import normalize
-
-    words = tokens(text, stop_words)
-    slots = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"))
-    where = F.transform(slots, lambda h: F.pmod(h, F.lit(2 * dims)).cast("int"))
-    counted = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: (F.size(F.filter(where, lambda x: x == d)) - F.size(F.filter(where, lambda x: x == d + dims))).cast("double"))
-    return normalize(counted)
+    """A deterministic embedding without a model: words hashed to a dimension and a sign, counted, scaled to length 1.
+
+    A text without words, and null, gives the zero vector. Words are cut in the JVM and counted in Arrow batches.
+    """
+
+    @F.pandas_udf("array<double>")
+    def count(words: pd.Series) -> pd.Series:
+        slots: dict[str, int] = {}
+        out = []
+        for own in words:
+            vector = np.zeros(2 * dims)
+            for word in own:
+                slot = slots.get(word)
+                if slot is None:
+                    slot = slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % (2 * dims)
+                vector[slot] += 1
+            vector = vector[:dims] - vector[dims:]
+            length = np.sqrt((vector * vector).sum())
+            out.append(vector / length if length else vector)
+        return pd.Series(out)
+
+    return count(tokens(text, stop_words))
