@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import keep, slices
@@ -23,6 +24,8 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Distinct words that a task counts before it passes them on; bounds memory, not the result.
 HELD = 1 << 19
+#: Parts in which the best words are looked for.
+SLOTS = 16
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +55,11 @@ def dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """The words that save most bytes, ``(n - 1)`` times their length, dearest last; ties by word."""
     # zstandard finds matches of three bytes at least, so no dictionary has room for more words than this.
     worth = (F.col("n") - 1) * F.octet_length("word")
-    rows = counts.filter("n > 1").filter(F.octet_length("word") >= 2).orderBy(worth.desc(), "word").limit(size // 3).collect()
+    most = size // 3
+    rows = counts.filter("n > 1").filter(F.octet_length("word") >= 2).withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(SLOTS)))
+    # The best of each slot first, so that what the driver gets doesn't grow with the number of tasks.
+    nth = F.row_number().over(W.partitionBy("slot").orderBy(worth.desc(), "word"))
+    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= most).orderBy(worth.desc(), "word").limit(most).collect()
     out, used = [], 0
     for row in rows:
         word = row["word"].encode("utf-8", "replace") + b" "
