@@ -30,7 +30,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of what is left: (doc_id, n_tokens, token_ids, round_trip)."""
-    return bpe.encode_documents(docs)
+    # Half the default tables: the executors' memory also holds what the stages before have left.
+    return bpe.encode_documents(docs, transitions=200_000, words=150_000)
 
 
 STAGES = [("quality", good), ("exact dedup", distinct), ("near dedup", different), ("mixing", mixed), ("tokens", tokens)]

@@ -31,8 +31,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is cut before merges: contractions, then runs of letters, digits, other signs (each with one space before), white space.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries after which a table of made transitions is emptied.
-MAX_TRANSITIONS = 200_000
-MAX_WORDS = 150_000
+MAX_TRANSITIONS = 400_000
+MAX_WORDS = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -275,10 +275,10 @@ class StreamDecoder:
 class Codec:
     """Both directions for one vocabulary; kept by each worker process."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, transitions: int = MAX_TRANSITIONS, words: int = MAX_WORDS):
         ranks = load_ranks(path)
-        self.transducer = Transducer(ranks)
-        self.words = _Words(self.transducer)
+        self.transducer = Transducer(ranks, transitions)
+        self.words = _Words(self.transducer, words)
         self.find = regex.compile(SPLIT).findall
         self.bytes_of = self.transducer.bytes_of
         self.lifted: dict = {}
@@ -304,11 +304,11 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(path: str, transitions: int = MAX_TRANSITIONS, words: int = MAX_WORDS) -> Codec:
+    return Codec(path, transitions, words)
 
 
-def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", transitions: int = MAX_TRANSITIONS, words: int = MAX_WORDS) -> DataFrame:
     """Encode whole texts and decode them again: (doc_id, n_tokens, token_ids, round_trip), one row for each row.
 
     A null text has null n_tokens, token_ids and round_trip; an empty one 0, [] and true. Texts of any length are
@@ -322,7 +322,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
     ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(vocabulary)
+        both = codec(vocabulary, transitions, words)
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
