@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.functions import vectors as V
-from nearfield.operators.search import top
+from nearfield.operators.search import BLOCK, top
+
+#: Codes of a segment, as many as a byte tells apart; and the share of all rows that a search on product codes rescores.
+CODES, RESCORED = 256, 0.08
 
 
 def train_scalar(df: DataFrame, quantile: float = 0.99, vector_col: str = "vector") -> DataFrame:
@@ -80,18 +86,24 @@ def train_product(df: DataFrame, segments: int, centroids: int, dims: int, order
     return out
 
 
-def _segment_distances(vector: Column, book: Sequence[Sequence[float]], start: int) -> Column:
-    part = F.slice(vector.cast("array<double>"), start + 1, len(book[0]))
-    return F.array(*[V.squared_euclidean(part, V.literal(c)) for c in book])
-
-
 def encode_product(vector: Column, books: Sequence[Sequence[Sequence[float]]]) -> Column:
-    """For each segment the number of the nearest code, the lowest of equals."""
-    def code(i: int, book) -> Column:
-        d = _segment_distances(vector, book, i * len(book[0]))
-        return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+    """For each segment the number of the nearest code, the lowest of equals; null for null."""
+    arrays = [np.asarray(b, float) for b in books]
 
-    return F.array(*[code(i, b) for i, b in enumerate(books)])
+    @F.arrow_udf("array<int>")
+    def codes(column: pa.Array) -> pa.Array:
+        out = np.empty((len(column) - column.null_count, len(arrays)), np.int32)
+        matrix = np.array(column.drop_null().to_pylist(), float)
+        for lo in range(0, len(out), BLOCK):
+            at = 0
+            for s, book in enumerate(arrays):
+                part = matrix[lo : lo + BLOCK, at : at + book.shape[1]]
+                at += book.shape[1]
+                out[lo : lo + BLOCK, s] = ((part[:, None] - book[None]) ** 2).sum(2).argmin(1)
+        found = iter(out.tolist())
+        return pa.array([next(found) if v else None for v in column.is_valid().to_pylist()], pa.list_(pa.int32()))
+
+    return codes(vector)
 
 
 def decode_product(codes: Column, books: Sequence[Sequence[Sequence[float]]]) -> Column:
@@ -118,3 +130,8 @@ def rescored(df: DataFrame, approximate: Column, exact: Column, k: int = 10, fac
     """The k best by the exact score among ``factor`` x k of the least approximate distance."""
     first = df.withColumn("approximate", approximate).orderBy("approximate", id_col).limit(factor * k)
     return top(first.withColumn("score", exact), k, id_col)
+
+
+def product_factor(rows: int, k: int = 10) -> int:
+    """``factor`` of ``rescored`` by which the candidates are ``RESCORED`` of all rows, 4 at least."""
+    return max(4, math.ceil(rows * RESCORED / k))

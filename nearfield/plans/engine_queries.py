@@ -65,20 +65,21 @@ def binary_quantized(spark, sf_dir):
 def product_quantized(spark, sf_dir):
     """Search on product codes, the best rescored exactly."""
     df = points(spark, sf_dir)
-    books = Z.train_product(df, 8, 16, 64)
+    rows = df.count()
+    books = Z.train_product(df, 8, min(Z.CODES, rows), 64)
     asked = list(df.filter("id = 0").first()["vector"])
     coded = df.withColumn("codes", Z.encode_product(F.col("vector"), books))
-    found = Z.rescored(coded, Z.product_distance(asked, F.col("codes"), books), V.score("euclidean", F.col("vector"), V.literal(asked)), 10, 4)
+    found = Z.rescored(coded, Z.product_distance(asked, F.col("codes"), books), V.score("euclidean", F.col("vector"), V.literal(asked)), 10, Z.product_factor(rows))
     return found.select("id", rounded(), rounded("approximate"))
 
 
 @query("ivf_search")
 def ivf_search(spark, sf_dir):
-    """Ten of 22 cells."""
+    """Ten of 22 cells, each point in its two nearest."""
     df = points(spark, sf_dir)
     centroids = ann.train_cells(df, 22)
     asked = list(df.filter("id = 0").first()["vector"])
-    return ann.cell_search(ann.with_cell(df, centroids), asked, centroids, 10, 10).select("id", "cell", rounded())
+    return ann.cell_search(ann.with_cells(df, centroids), asked, centroids, 10, 10).select("id", F.get("cells", F.lit(0)).alias("cell"), rounded())
 
 
 @query("cell_sizes")

@@ -17,6 +17,7 @@ from nearfield.operators import filters as P
 from nearfield.operators import quantize as Z
 from nearfield.plans import catalog as M
 from nearfield.plans import explain
+from nearfield.plans.search_queries import points
 from nearfield.plans.sql import SqlError, execute, parse
 from nearfield.sources import points as S
 from nearfield.streaming import feed
@@ -270,6 +271,33 @@ def test_all_cells_are_exact(spark):
     assert len(some & set(exact)) >= 8
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_approximate_searches(spark, sf):
+    """Mean recall at 10 of both, with every row as a query; the queries' own settings."""
+    df = points(spark, f"/root/testdata/{sf}").cache()
+    rows = df.orderBy("id").collect()
+    ids, x = np.array([r.id for r in rows]), np.array([r.vector for r in rows], float)
+    centroids = ann.train_cells(df, 22)
+    cells = ann.with_cells(df, centroids).cache()
+    found = ann.cell_search_batch(cells, df.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), centroids).collect()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    exact = ids[np.argsort(-(unit @ unit.T), 1, kind="stable")[:, :10]]
+    got = {int(i): set() for i in ids}
+    for r in found:
+        got[r.query_id].add(r.id)
+    assert np.mean([len(got[int(i)] & set(e.tolist())) / 10 for i, e in zip(ids, exact)]) >= 0.9
+    for at in (0, 7):
+        assert {r.id for r in ann.cell_search(cells, rows[at].vector, centroids).collect()} == got[rows[at].id]
+
+    books = Z.train_product(df, 8, min(Z.CODES, len(rows)), 64)
+    codes = np.array([r.codes for r in df.select("id", Z.encode_product(F.col("vector"), books).alias("codes")).orderBy("id").collect()])
+    book = [np.array(b) for b in books]
+    far = sum(((x[:, None, 8 * s : 8 * s + 8] - book[s][None]) ** 2).sum(2)[:, codes[:, s]] for s in range(8))
+    first = np.argsort(far, 1, kind="stable")[:, : 10 * Z.product_factor(len(rows))]
+    nearest = np.argsort(-2 * x @ x.T + (x**2).sum(1)[None], 1, kind="stable")[:, :10]
+    assert np.mean([np.isin(n, f).mean() for n, f in zip(nearest, first)]) >= 0.9
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0], '{"x": 1}'), ("b", [2.0], "{}")], "id string, vector array<float>, j string").select("id", "vector", F.parse_json("j").alias("payload"))
     S.write_json(df, f"{tmp_path}/json")
