@@ -1,8 +1,8 @@
 """Operator 8: scoring by compression cross-entropy.
 
 Words are counted over all documents, and over those labelled as good (the domain). The words whose repetition saves
-most bytes make two raw-content zstandard dictionaries of one size, the dearest last, where matches are cheapest. A
-text's compressed size under a dictionary stands for its cross-entropy; the score is how much smaller it is under the
+most bytes make two raw-content zstandard dictionaries, the dearest last, where matches are cheapest; each holds what
+saves nine tenths of all bytes that repetition could save, so it grows with the texts. A text's compressed size under a dictionary stands for its cross-entropy; the score is how much smaller it is under the
 domain's dictionary than under the general one, as a share of the latter.
 """
 
@@ -15,17 +15,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfield.llm.common import keep, slices
 
+#: Least room for words; a larger corpus has larger dictionaries.
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 #: Distinct words that a task counts before it passes them on; bounds memory, not the result.
 HELD = 1 << 19
-#: Parts in which the best words are looked for.
-SLOTS = 16
+#: The share of the bytes that all repeated words could save that those of a dictionary save, and the bins of an octave in which that is looked for.
+SHARE, BINS = 0.9, 64
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,22 +51,34 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """The words that save most bytes, ``(n - 1)`` times their length, dearest last; ties by word."""
-    # zstandard finds matches of three bytes at least, so no dictionary has room for more words than this.
+def dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES, share: float = SHARE) -> bytes:
+    """The words that save most bytes, ``(n - 1)`` times their length, dearest last; ties by word.
+
+    As many as ``size`` has room for, or as save ``share`` of all bytes that can be saved, whichever is more; so it grows
+    with the counted texts.
+    """
     worth = (F.col("n") - 1) * F.octet_length("word")
-    most = size // 3
-    rows = counts.filter("n > 1").filter(F.octet_length("word") >= 2).withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(SLOTS)))
-    # The best of each slot first, so that what the driver gets doesn't grow with the number of tasks.
-    nth = F.row_number().over(W.partitionBy("slot").orderBy(worth.desc(), "word"))
-    rows = rows.withColumn("nth", nth).filter(F.col("nth") <= most).orderBy(worth.desc(), "word").limit(most).collect()
-    out, used = [], 0
-    for row in rows:
-        word = row["word"].encode("utf-8", "replace") + b" "
-        if used + len(word) > size:
+    # Bins of equal ratio, all of a bin or none: the driver gets a row for each to find the share.
+    rows = counts.filter("n > 1").filter(F.octet_length("word") >= 2).withColumn("worth", worth).withColumn("bin", F.floor(F.log2("worth") * BINS).cast("int"))
+    bins = rows.groupBy("bin").agg(F.sum("worth").alias("worth"), F.sum(F.octet_length("word") + 1).alias("bytes")).orderBy(F.col("bin").desc()).collect()
+    total, saved, held, least = sum(r["worth"] for r in bins), 0, 0, 0
+    for r in bins:
+        if saved >= share * total and held > size:
             break
-        out.append(word)
-        used += len(word)
+        saved, held, least = saved + r["worth"], held + r["bytes"], r["bin"]
+        # What the share needs sets the size; bins beyond it are only read to fill the least size.
+        if saved - r["worth"] < share * total:
+            size = max(size, held)
+    words = rows.filter(F.col("bin") >= least).orderBy(F.col("worth").desc(), "word").select("word").toArrow()["word"]
+    out, used = [], 0
+    for chunk in words.chunks:
+        for at in range(0, len(chunk), 1 << 16):
+            for value in chunk.slice(at, 1 << 16).to_pylist():
+                word = value.encode("utf-8", "replace") + b" "
+                if used + len(word) > size:
+                    return b"".join(reversed(out))
+                out.append(word)
+                used += len(word)
     return b"".join(reversed(out))
 
 
@@ -76,12 +88,19 @@ def compressed_size(text: bytes, compressor: zstandard.ZstdCompressor | None) ->
 
 def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     """A compressor under a raw-content dictionary; plain if that is too short to be one."""
-    options = {"level": level, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
     if len(content) < 8:
-        return zstandard.ZstdCompressor(**options)
+        return zstandard.ZstdCompressor(level=level, **options)
     prefix = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    prefix.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(dict_data=prefix, **options)
+    if len(content) <= DICTIONARY_BYTES:
+        prefix.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=prefix, **options)
+    # The level's own tables are too small for a larger dictionary: later words would push out earlier ones.
+    log = len(content).bit_length()
+    tables = max(17, min(log - 2, 24))
+    params = zstandard.ZstdCompressionParameters.from_level(level, window_log=max(21, min(log + 1, 27)), hash_log=tables, chain_log=tables, **options)
+    prefix.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=prefix, compression_params=params)
 
 
 def score(docs: DataFrame, domain: bytes, general: bytes, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL) -> DataFrame:

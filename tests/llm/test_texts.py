@@ -177,3 +177,19 @@ def test_compression_of_odd_rows(spark):
     assert (1, None, None) in got and (2, 0, 0.0) in got
     assert compression.compression_scores(docs, labels.limit(0)).count() == 5
     assert compression.compression_scores(docs.limit(0), labels).count() == 0
+
+
+def test_dictionary_grows_with_the_corpus(spark):
+    """Rare words of a large vocabulary are in the dictionary, and of use wherever they are in it."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(40_000)]
+    counts = spark.createDataFrame([(w, 2 + (i < 20_000)) for i, w in enumerate(words)], "word string, n bigint")
+    content = compression.dictionary(counts)
+    held = set(content.decode().split())
+    saved = sum((2 if i < 20_000 else 1) for i, w in enumerate(words) if w in held)
+    assert saved >= 0.9 * 60_000 and len(content) > compression.DICTIONARY_BYTES
+    near, plain = compression.compressor(content), compression.compressor(b"")
+    for part in (words[:2000], words[10_000:12_000]):
+        text = " ".join(rng.sample(part, 1500)).encode()
+        assert len(near.compress(text)) < 0.6 * len(plain.compress(text))
+    assert compression.dictionary(counts.limit(100)) == compression.dictionary(counts.limit(100), share=0.0)
