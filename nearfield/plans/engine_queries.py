@@ -97,16 +97,12 @@ def tree_leaves(spark, sf_dir):
 
 @query("recall_of_cells")
 def recall_of_cells(spark, sf_dir):
-    """Recall of the partitioned search against the exact one."""
+    """Recall of the partitioned search against the exact one, every point a query."""
     df = points(spark, sf_dir)
     centroids = ann.train_cells(df, 22)
-    cells = ann.with_cell(df, centroids)
-    parts, exact = [], []
-    for i, row in enumerate(df.filter("id < 3").orderBy("id").collect()):
-        asked = list(row["vector"])
-        parts.append(ann.cell_search(cells, asked, centroids).select(F.lit(i).alias("query_id"), "id"))
-        exact.append(search.nearest(df, asked).select(F.lit(i).alias("query_id"), "id"))
-    return facets.recall(facets.union_all(parts), facets.union_all(exact))
+    queries = df.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = ann.cell_search_batch(ann.with_cells(df, centroids), queries, centroids)
+    return facets.recall(found, search.nearest_batch(df, queries))
 
 
 @query("principal_components")

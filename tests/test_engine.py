@@ -16,7 +16,7 @@ from nearfield.operators import ann, facets, fusion, ingest, retrieval, search
 from nearfield.operators import filters as P
 from nearfield.operators import quantize as Z
 from nearfield.plans import catalog as M
-from nearfield.plans import explain
+from nearfield.plans import engine_queries, explain
 from nearfield.plans.search_queries import points
 from nearfield.plans.sql import SqlError, execute, parse
 from nearfield.sources import points as S
@@ -298,6 +298,13 @@ def test_recall_of_approximate_searches(spark, sf):
     assert np.mean([np.isin(n, f).mean() for n, f in zip(nearest, first)]) >= 0.9
 
 
+def test_recall_report_covers_every_point(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.query_id: r.recall for r in engine_queries.recall_of_cells(spark, sf).collect()}
+    assert got.keys() == {r.id for r in points(spark, sf).select("id").collect()}
+    assert all(0 <= x <= 1 for x in got.values()) and np.mean(list(got.values())) >= 0.9
+
+
 def test_sources(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0], '{"x": 1}'), ("b", [2.0], "{}")], "id string, vector array<float>, j string").select("id", "vector", F.parse_json("j").alias("payload"))
     S.write_json(df, f"{tmp_path}/json")
