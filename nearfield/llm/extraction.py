@@ -31,6 +31,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _PARAGRAPH = frozenset("p pre td blockquote div section article li dd".split())
 _AWAY = frozenset("nav footer aside form button select head".split())
+_WHOLE = frozenset(("body", "main", "article"))
 _UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|footer|menu|nav\w*|pager|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe)(?:$|[\s_-])", re.I)
 
 
@@ -47,8 +48,11 @@ class Node:
     score: float = 0.0
 
 
-def parse(html: str) -> tuple[list[Node], list[tuple[int, str]], str]:
-    """Block elements in document order (0 is the root), the pieces of text with their block, and the title."""
+def parse(html: str, by_name: bool = True) -> tuple[list[Node], list[tuple[int, str]], str]:
+    """Block elements in document order (0 is the root), the pieces of text with their block, and the title.
+
+    Unless ``by_name`` is off, elements named like parts of no interest are away; never those that hold the page.
+    """
     nodes = [Node("html", -1, False)]
     pieces: list[tuple[int, str]] = []
     stack = [0]
@@ -95,7 +99,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]], str]:
             if nodes[stack[-1]].tag == "p" or tag == nodes[stack[-1]].tag and tag in ("li", "dd", "dt", "tr", "td", "th"):
                 stack.pop()  # closed by what follows
             in_link = 0
-            named = _NAMED.findall(attributes)
+            named = _NAMED.findall(attributes) if by_name and tag not in _WHOLE else ()
             away = nodes[stack[-1]].away or tag in _AWAY or any(_UNLIKELY.search(n.strip("\"'")) for n in named)
             nodes.append(Node(tag, stack[-1], away))
             stack.append(len(nodes) - 1)
@@ -107,10 +111,23 @@ def _density(node: Node) -> float:
 
 
 def extract_text(html: str | None) -> tuple[str | None, str | None, float | None]:
-    """(title, text, score of the container) of a page; nulls for null."""
+    """(title, text, score of the container) of a page; nulls for null.
+
+    If nothing but links is left, names have hidden the page: it is read again without them.
+    """
     if html is None:
         return None, None, None
-    nodes, pieces, title = parse(html)
+    title, text, top, left = _extract(html, True)
+    if not left and _NAMED.search(html):
+        again = _extract(html, False)
+        if again[3]:
+            return again[:3]
+    return title, text, top
+
+
+def _extract(html: str, by_name: bool) -> tuple[str, str, float, bool]:
+    """As ``extract_text``, and whether there is text that isn't in links."""
+    nodes, pieces, title = parse(html, by_name)
     for node in nodes:
         own = "".join(node.own).split()
         node.size = sum(map(len, own)) + max(0, len(own) - 1)
@@ -163,15 +180,16 @@ def extract_text(html: str | None) -> tuple[str | None, str | None, float | None
             last = i
         lines[-1] += text
     out = [" ".join(line.split()) for block in lines for line in block.split("\n\n")]
-    return title, "\n".join(line for line in out if line), round(top, 6)
+    left = any(inside[i] and len(" ".join("".join(node.own).split())) > node.links for i, node in enumerate(nodes))
+    return title, "\n".join(line for line in out if line), round(top, 6), left
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, title, text, score), a row for each row.
 
     A null page has nulls; an empty one, or one without text, has empty title and text and score 0. Without any
-    paragraph of ``LEAST`` characters all text outside of navigation and the like is kept, with score 0. Of containers
-    of equal score the first is kept. Pages of any length and depth are read whole; broken markup never fails.
+    paragraph of ``LEAST`` characters all text outside of navigation and the like is kept, with score 0. Names of
+    classes never hide a body, main or article, nor all paragraphs of a page. Of containers of equal score the first is kept. Pages of any length and depth are read whole; broken markup never fails.
     Repeated rows and null ids are carried; an empty table gives no rows; other columns aren't read.
     """
     kind = pages.schema[id_col].dataType.simpleString()

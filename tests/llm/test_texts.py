@@ -117,6 +117,15 @@ def test_markup(html, has, lacks):
     assert all(x in text for x in has) and not any(x in text for x in lacks)
 
 
+@pytest.mark.parametrize("html", [
+    *[f'<{tag} class="{name}"><div><p>{P}one</p><p>{P}two</p></div></{tag}>' for tag in ("body", "main", "article") for name in ("home has-sidebar wide", "ast-right-sidebar", "nav-open")],
+    f'<body><div id=page class="has-sidebar"><p>{P}one</p><p>{P}two</p></div></body>', f'<body><a href="#x">Skip</a><div class="nav-open"><p>{P}one</p><p>{P}two</p></div></body>',
+])
+def test_names_never_hide_the_whole_page(html):
+    _, text, score = extraction.extract_text(html)
+    assert "one" in text and "two" in text and score > 0
+
+
 def test_scores_by_hand():
     own = P.strip()
     points = 1 + own.count(",") + len(own) / 100
