@@ -4,7 +4,7 @@ A document's fingerprint is two times 64 bits, each the signs of a weighted vote
 near copies if the first 64 bits differ in at most ``RADIUS`` places and the others in at most ``CONFIRM``.
 
 The first half is cut into 8 bytes; two fingerprints meet in the bucket of each pair of bytes in which they agree, so
-every pair within 6 bits meets, and of those at 7 and 8 bits all but about 1 and 4 in 100. A bucket's fingerprints are
+every pair within 6 bits meets, and of those at 7 and 8 bits all but about 3 and 10 in 100. A bucket's fingerprints are
 sorted by Gray rank, which puts those with long shared patterns side by side, and indexed bottom-up: a node keeps the
 bits all below it share, masked by those that its parent has already. A search adds up differences on its way down and
 drops a node, with the whole group below it, once they exceed the radius. Every fingerprint is a query; there is no cap.
