@@ -1,6 +1,7 @@
 """Operator 3: personal identifiers by bootstrapped contextual extraction.
 
-A mention is a token with a digit or an @ in it (a telephone number: several). Entities that pass a strict validator of
+A mention is a token with a digit or an @ in it (a telephone number, or a card number in groups: several), or each such
+piece of a token cut at commas, colons, quotes, brackets and the like. Entities that pass a strict validator of
 their kind seed the search; those that a validator refutes, as a card number of wrong check digit, are never accepted.
 Each mention has lexical patterns: its shape, its coarse shape, and the coarse shape with the words on its left or
 right. Spark scores the graph of patterns and instances in rounds: a pattern is as good as the share of its instances
@@ -33,6 +34,10 @@ _CARD = re.compile(r"\d{13,19}")
 _PHONE = re.compile(r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}")
 _PHONE_PART = re.compile(r"[-().\d]*\d[-().\d]*")
 _HEX = re.compile(r"(?=[^a-f]*[a-f])[0-9a-f]{16,}")
+_PLAIN_PHONE = re.compile(r"\d{3}([-.])\d{3}\1\d{4}")
+_GROUPS = re.compile(r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?![\w-])")
+#: What lies between signs that join several values in one token.
+_PIECE = re.compile(r"""[^,;=:"'<>\[\](){}]+""")
 _SECRET_WORDS = frozenset(("token", "secret", "password", "passwd", "key", "apikey", "api_key", "auth"))
 
 
@@ -51,7 +56,9 @@ def judge(value: str, left: str, left2: str) -> tuple[str | None, bool]:
         return ("ip", False) if all(int(x) < 256 for x in value.split(".")) else (None, True)
     if _CARD.fullmatch(value):
         return ("card", False) if _luhn(value) else (None, True)
-    if _PHONE.fullmatch(value):
+    if _GROUPS.fullmatch(value):
+        return ("card", False) if _luhn(re.sub("[ -]", "", value)) else (None, True)
+    if _PHONE.fullmatch(value) or _PLAIN_PHONE.fullmatch(value):
         return "phone", False
     if len(value) >= 32 and _HEX.fullmatch(value) and (left in _SECRET_WORDS or left2 in _SECRET_WORDS and left in "=:"):
         return "secret", False
@@ -109,6 +116,27 @@ def _number_end(text: str, end: int) -> int:
     return end
 
 
+def _patterns(value: str, left: str, left2: str, right: str) -> list[str]:
+    like = coarse(value)
+    found = [f"shape {shape(value)}", f"left {left}|{like}", f"right {like}|{right}", f"left2 {left2} {left}|{like}"]
+    return found if like == shape(value) else [*found, f"coarse {like}"]
+
+
+def _pieces(text: str, begin: int, start: int, end: int, pieces: list[re.Match[str]]) -> Iterator[tuple[int, int, str, str | None, bool, list[str]]]:
+    """The mentions in a token of several pieces; a piece's neighbours are its context before the token's are."""
+    at, left = _before(text, begin)
+    _, left2 = _before(text, at)
+    lo, hi = _next(text, end)
+    after = _trim(text[lo:hi].lower())[1]
+    cut = [(start + p.start() + skip, value.lower()) for p in pieces for skip, value in [_trim(p[0])]]
+    for i, (place, value) in enumerate(cut):
+        if _ANCHOR.search(value):
+            kind, refuted = judge(value, left, left2)
+            yield place, place + len(value), value, kind, refuted, _patterns(value, left, left2, cut[i + 1][1] if i + 1 < len(cut) else after)
+        if value:
+            left, left2 = value, left
+
+
 def mentions(text: str) -> Iterator[tuple[int, int, str, str | None, bool, list[str]]]:
     """(begin, end, instance, kind if seeded, refuted, patterns) of each token with a digit or an @."""
     done = 0
@@ -120,6 +148,16 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str | None, bool, list[
         begin = max(begin, done)
         skip, value = _trim(text[begin:end])
         start, done = begin + skip, end
+        groups = _GROUPS.match(text, start) if " " in text[start + 4 : start + 5] else None
+        if groups and _luhn(groups[0].replace(" ", "")):
+            at, left = _before(text, begin)
+            _, left2 = _before(text, at)
+            done = groups.end()
+            yield start, done, groups[0], "card", False, _patterns(groups[0], left, left2, "")
+            continue
+        if value[:1] not in ("+", "(") and len(pieces := list(_PIECE.finditer(value))) > 1:
+            yield from _pieces(text, begin, start, end, pieces)
+            continue
         parts = [value]
         if value[:1] == "+" or value[:1] == "(":
             while len(parts) < 5:
@@ -143,11 +181,7 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str | None, bool, list[
         lo, hi = _next(text, done)
         right = _trim(text[lo:hi].lower())[1]
         kind, refuted = judge(value, left, left2)
-        like = coarse(value)
-        found = [f"shape {shape(value)}", f"left {left}|{like}", f"right {like}|{right}", f"left2 {left2} {left}|{like}"]
-        if like != shape(value):
-            found.append(f"coarse {like}")
-        yield start, stop, value, kind, refuted, found
+        yield start, stop, value, kind, refuted, _patterns(value, left, left2, right)
 
 
 MENTIONS = "begin int, end int, instance string, seed string, refuted boolean, patterns array<string>"

@@ -61,6 +61,20 @@ def test_mentions(text, want):
     assert [(m[2], m[3]) for m in pii.mentions(text)] == want
 
 
+HEX = "0123456789abcdef" * 2 + "89abcdef"
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("at 10.0.0.1:8080 now", [("10.0.0.1", "ip")]), ("a@x.com,b@y.com", [("a@x.com", "email"), ("b@y.com", "email")]), ("<mailto:A@b.com>", [("a@b.com", "email")]),
+    (f'set token="{HEX}".', [(HEX, "secret")]), ("4539-5787-6362-1486", [("4539-5787-6362-1486", "card")]), ("pay 4539 5787 6362 1486, then", [("4539 5787 6362 1486", "card")]),
+    ("call 555-123-4567.", [("555-123-4567", "phone")]), ("4539 5787 6362 1487", []), ("4539-5787-6362-1487", []), ("at 12:30, 1,234,567", []),
+])
+def test_several_identifiers_in_a_token(text, want):
+    got = list(pii.mentions(text))
+    assert [(m[2], m[3]) for m in got if m[3]] == want
+    assert all(text[m[0] : m[1]].lower() == m[2] for m in got)
+
+
 def test_identifiers_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "to a@b.com"), (3, "to a@b.com"), (3, "to a@b.com"), (4, "word " * 40_000 + "9.9.9.9"), (5, "7" * 50_000)]
     docs = frame(spark, rows).withColumn("instance", F.lit("x"))
