@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -140,6 +141,34 @@ def test_names_never_hide_the_whole_page(html):
     assert "one" in text and "two" in text and score > 0
 
 
+@pytest.mark.parametrize("html", [
+    f'<body class="single has-sidebar"><p>{P}one</p><p>{P}</p><p>{P}two</p></body>', f'<body><form id="aspnetForm"><div><p>{P}one</p><p>{P}two</p></div></form></body>',
+    f'<div id="content" class="no-comments"><p>{P}one</p><p>{P}two</p></div>', f'<form><nav>menu</nav><aside class="ad"><p>{P}one</p><p>{P}two</p></aside></form>',
+    f'<head><title>t<body><div><p>{P}one</p><p>{P}two</p></div>', f'<html><head><meta charset=x><p>{P}one</p><p>{P}two</p>', f'<svg><p>{P}one</p><p>{P}two</p>',
+])
+def test_wrappers_never_hide_the_page(html):
+    _, text, score = extraction.extract_text(html)
+    assert "one" in text and "two" in text and "menu" not in text and score > 0
+
+
+@pytest.mark.parametrize(("html", "want"), [
+    (f'<p>{P}<a href="x>link</a> more</p>', P + "link more"), (f'<p>{P}<a href="x>link</a> and <b class="y">bold</b></p>', P + "link and bold"),
+    (f'<p>{P}<a title="a > b" href=y>link</a></p>', P + "link"), (f"<p>{P}<b class=x don't>it</b> isn't", P + "it isn't"), (f"<p>{P}<a href='", P.strip()),
+    (f"<p>{P}</p><!-- no end <p>gone", P.strip()), (f"<p>{P}1 < 2 <3 and </>x</ p>y", P + "1 < 2 <3 and xy"), (f"<p>{P}</p><script>var a = '</p>'; <b>", P.strip()),
+])
+def test_broken_tags_leak_nothing(html, want):
+    assert extraction.extract_text(html)[1] == want
+
+
+@pytest.mark.parametrize("piece", ["<a x ", '<a x="', "<a x='>", "<a x=\"'", "</p ", "<div>", "</div>", "<p></b>", "<!--", "<!-- -", "<? ", "<", "</", "<title>", "<svg>", "</script ", "&amp", "<a<", "= ", "<ul><li>", '<p class="', "\n\n", "<table>"])
+def test_broken_markup_takes_time_in_proportion(piece):
+    for start in ("", "<script>", '<p class="x">'):
+        page = start + piece * ((1 << 18) // len(piece))
+        began = time.process_time()
+        extraction.extract_text(page)
+        assert time.process_time() - began < 5
+
+
 def test_scores_by_hand():
     own = P.strip()
     points = 1 + own.count(",") + len(own) / 100
