@@ -76,6 +76,33 @@ def test_several_identifiers_in_a_token(text, want):
     assert all(text[m[0] : m[1]].lower() == m[2] for m in got)
 
 
+@pytest.mark.parametrize("piece", ["7 ", "7\n", "12345\n", "!", "a@", "(", "a1", "+1 ", "1,", "x", " \n", "@ ", "1234 5678 ", "4539 5787 6362 1486\t", "$ "])
+def test_mentions_take_time_in_proportion(piece):
+    text = piece * ((1 << 17) // len(piece)) + "\nat 1.2.3.4"
+    began = time.process_time()
+    found = list(pii.mentions(text))
+    assert time.process_time() - began < 10 and found[-1][2:4] == ("1.2.3.4", "ip")
+
+
+def test_rounds_go_on_until_nothing_is_new(spark):
+    """A chain: each pattern's instances make the next pattern good enough, far beyond a handful of rounds."""
+    rows, steps = [], 12
+    for i in range(9):
+        rows.append((f"seed{i}", "email", False, ["p0"]))
+    for step in range(steps):
+        for i in range(2):
+            rows.append((f"x{step}-{i}", None, False, [f"p{step}", f"p{step + 1}"]))
+        for i in range(9 if step < steps - 1 else 0):
+            rows.append((f"more{step}-{i}", "email", False, [f"p{step + 1}"]))
+    rows.append(("no", None, True, [f"p{steps}"]))
+    found = spark.createDataFrame(rows, "instance string, seed string, refuted boolean, patterns array<string>")
+    known = {r.instance: r.kind for r in pii.bootstrap(found).collect()}
+    assert known == {r[0]: "email" for r in rows if not r[2]}
+    chain = [(f"s{i}", "ip", False, ["p0"]) for i in range(5)] + [(f"c{k}-{i}", None, False, [f"p{k}", f"p{k + 1}"]) for k in range(7) for i in range(5)]
+    known = pii.bootstrap(spark.createDataFrame(chain, found.schema), confidence=0.5).collect()
+    assert len(known) == len(chain) and min(r.score for r in known) < 1
+
+
 def test_identifiers_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "to a@b.com"), (3, "to a@b.com"), (3, "to a@b.com"), (4, "word " * 40_000 + "9.9.9.9"), (5, "7" * 50_000)]
     docs = frame(spark, rows).withColumn("instance", F.lit("x"))
