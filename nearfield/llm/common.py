@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,28 +35,54 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests, local runs)."""
+    """The folder that all executors share; a temporary one only where the session names none and runs in one process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='nearfield-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor may be lost."""
+#: Tables that ``keep`` wrote, by the innermost ``temporary`` block.
+_SCOPES: list[list[str]] = []
+
+
+def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and any executor may be lost.
+
+    The table stays until ``drop_kept``, or the end of the ``temporary`` block; if it ``stays``, of the block around that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/nearfield/{name}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > stays:
+        _SCOPES[-1 - stays].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.kept_at = path
+    return kept
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_kept(df: DataFrame) -> None:
     """Delete the files of a table that ``keep`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.kept_at)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``keep`` writes in the block when the block ends, but for tables that stay."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,21 +1,19 @@
 """Operator 6: exact duplicates, screened by the static filters of earlier, immutable snapshots.
 
-Documents arrive in batches by ascending doc_id. Once its digests are known, a batch is an immutable snapshot with one
-binary-fuse filter for each bucket of digests. A later batch's distinct digests meet the filter of their bucket; the
+Documents arrive in batches, told by a hash of their id. Once its digests are known, a batch is an immutable snapshot
+with one binary-fuse filter for each bucket of digests. A later batch's distinct digests meet the filter of their bucket; the
 positives alone join the snapshot's digests exactly. Duplicates within a batch are found by grouping that batch. Only
 documents whose digest occurs in either way are compared, byte by byte.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.common import digest, fresh, keep
+from nearfield.llm.common import digest, drop_kept, fresh, keep
 from nearfield.llm.fuse import FuseFilter
 
 #: Distinct digests in one filter, on average.
@@ -66,11 +64,8 @@ def screen(digests: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
 def repeated_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(digest): every digest that more than one row of ``docs`` has."""
-    spark = docs.sparkSession
-    bounds = docs.agg(F.min(id_col), F.max(id_col)).first()
-    low, high = (int(x) if x is not None else 0 for x in bounds)
-    # Null ids come last.
-    batch = F.coalesce(F.least(F.lit(batches - 1), F.floor((F.col(id_col) - F.lit(low)) * F.lit(batches) / F.lit(high - low + 1))), F.lit(batches - 1)).cast("int")
+    # Of any type and range; rows of one id are in one batch.
+    batch = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(batches)).cast("int")
     seen = docs.select(batch.alias("batch"), digest(F.col(text_col)).alias("digest")).filter("digest IS NOT NULL")
     known = keep(seen.groupBy("batch", "digest").agg(F.count(F.lit(1)).alias("n")), "digests")
     snapshots = known.filter(F.col("batch") < batches - 1).select(F.col("batch").alias("snapshot"), "digest")
@@ -79,13 +74,16 @@ def repeated_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     passed = screen(known.filter(F.col("batch") > 0).select("batch", "digest"), filters, buckets)
     across = passed.join(snapshots, ["snapshot", "digest"], "left_semi").select("digest")
     within = known.filter("n > 1").select("digest")
-    return keep(across.union(within).distinct(), "repeated")
+    repeated = keep(across.union(within).distinct(), "repeated")
+    drop_kept(known)
+    drop_kept(filters)
+    return repeated
 
 
 def duplicate_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> DataFrame:
     """(doc_id, copy_of): one row for each document that an equal one replaces, with the smallest doc_id of its group.
 
-    Texts are equal if their bytes are; empty texts are equal to one another. A null text equals nothing and is in no
+    The id is of any type that has an order. Texts are equal if their bytes are; empty texts are equal to one another. A null text equals nothing and is in no
     row. A null doc_id sorts last, so it is kept only in a group of nulls. A row repeated with its doc_id is a copy of
     itself: (7, 7), once for each repetition. An empty table gives an empty result; other columns aren't read.
     """
@@ -125,8 +123,3 @@ SELECT doc_id, copy_of FROM (
   WINDOW w AS (PARTITION BY text ORDER BY doc_id NULLS LAST)
 ) WHERE nth > 1
 """
-
-
-def decode_filters(rows: Iterable) -> dict[tuple[int, int], FuseFilter]:
-    """Filters by (snapshot, bucket), from collected rows."""
-    return {(r["snapshot"], r["bucket"]): FuseFilter(r["seed"] + (1 << 63), r["segment"], r["segments"], np.frombuffer(bytes(r["slots"]), np.uint8)) for r in rows}

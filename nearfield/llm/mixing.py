@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nearfield.llm.common import fresh, keep, prefix_sums, same
 
@@ -109,5 +108,3 @@ WITH rows_ AS (
 )
 SELECT doc_id, source, epoch, n_rows, CASE WHEN epoch > full_ THEN least(tokens, rest - before) ELSE tokens END AS tokens FROM taken
 """
-
-TAKEN_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), T.StructField("epoch", T.LongType()), T.StructField("n_rows", T.LongType()), T.StructField("tokens", T.LongType())])

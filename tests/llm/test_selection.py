@@ -1,3 +1,4 @@
+import glob
 import random
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nearfield.llm import exact, mixing, sharding
+from nearfield.llm import common, exact, mixing, sharding
 from nearfield.llm.fuse import FuseFilter
 from nearfield.llm.queries.selection import QUERIES
 from tests.oracle import SF, assert_same
@@ -68,6 +69,27 @@ def test_kept_rows_with_clashing_columns(spark):
     assert mixed.columns[-1] == "cut_of" and mixed.count() > 0
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("string", ["a", "b", "7", "é", "", None, "zz", "a"]), ("bigint", [-(1 << 62) - 5, (1 << 62) + 7, -(1 << 63), (1 << 63) - 1, 0, None, 5, 5]), ("double", [0.5, -1e300, 2.0, None, 1e300, 3.0, 0.25, 0.5])])
+def test_ids_of_any_kind(spark, kind, ids):
+    rows = [(i, ["same", "same", "other", "same", "other", "same", "alone", "same"][k], "en", "a", 0) for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA.replace("doc_id bigint", f"doc_id {kind}"))
+    views = pd.DataFrame({"doc_id": pd.Series(ids, dtype={"string": "object", "bigint": "Int64", "double": "Float64"}[kind]), "text": [r[1] for r in rows]})
+    assert assert_same(exact.duplicate_pairs(docs), exact.SQL_DUPLICATE_PAIRS, documents=views) > 0
+    assert sorted(r.text for r in exact.drop_duplicates(docs).collect()) == ["alone", "other", "same"]
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    def there(df):
+        return glob.glob(df.kept_at.removeprefix("file://") + "/*.parquet")
+
+    with common.temporary(spark):
+        a, b = common.keep(spark.range(3), "a"), common.keep(spark.range(4), "b", stays=True)
+        assert there(a) and there(b)
+    assert not there(a) and b.count() == 4
+    common.drop_kept(b)
+    assert not there(b)
+
+
 def brute_cuts(sizes, shards):
     def need(c):
         n, used = 1, 0
