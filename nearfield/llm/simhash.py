@@ -3,9 +3,9 @@
 A document's fingerprint is two times 64 bits, each the signs of a weighted vote of its distinct words. Documents are
 near copies if the first 64 bits differ in at most ``RADIUS`` places and the others in at most ``CONFIRM``.
 
-The first half is cut into 8 bytes; two fingerprints meet in the bucket of each pair of bytes in which they agree, so
-every pair within 6 bits meets, and of those at 7 and 8 bits all but about 3 and 10 in 100. A bucket's fingerprints are
-sorted by Gray rank, which puts those with long shared patterns side by side, and indexed bottom-up: a node keeps the
+The first half is cut into ``radius`` + k parts, of which near fingerprints agree in k at least; they meet in the bucket
+of each k parts in which they agree, so no pair is lost. k is 2 (45 tables, keys of 13 bits) up to some 10^8 distinct
+fingerprints, and more beyond, so buckets stay small; the result is the same with any. A bucket's fingerprints are sorted by Gray rank, which puts those with long shared patterns side by side, and indexed bottom-up: a node keeps the
 bits all below it share, masked by those that its parent has already. A search adds up differences on its way down and
 drops a node, with the whole group below it, once they exceed the radius. Every fingerprint is a query; there is no cap.
 """
@@ -13,6 +13,7 @@ drops a node, with the whole group below it, once they exceed the radius. Every
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ FAN_OUT = 8
 #: Rows of the index built at once (whole buckets), and pairs of query and node held at once; neither changes the result.
 ROWS = 1 << 17
 FRONTIER = 1 << 21
-TABLES = [(i, j) for i in range(8) for j in range(i + 1, 8)]
+#: Fingerprints in a bucket, expected, beyond which one more part has to agree.
+BUCKET = 1 << 15
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -110,6 +112,21 @@ def gray_rank(f: Column) -> Column:
     return f
 
 
+def agreeing_parts(n: int, radius: int = RADIUS, bucket: int = BUCKET) -> int:
+    """The number of parts that make a key, for n distinct fingerprints."""
+    k = 2
+    while k < 4 and n >> (64 * k // (radius + k)) > bucket:
+        k += 1
+    return k
+
+
+def parts_of(radius: int, k: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
+    """(first bit, bits) of each part, and the parts of each table's key, in lexicographic order."""
+    p = radius + k
+    cuts = [64 * i // p for i in range(p + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], list(combinations(range(p), k))
+
+
 class GrayIndex:
     """The index over fingerprints that are sorted by (bucket, Gray rank), with a tree for each bucket."""
 
@@ -184,19 +201,23 @@ def _linked(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
     return root
 
 
-def _edges(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, node: np.ndarray, radius: int, confirm: int) -> pa.RecordBatch:
-    byte_pairs = np.array(TABLES)
-    table = key >> 16
+def _edges(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, node: np.ndarray, radius: int, confirm: int, k: int) -> pa.RecordBatch:
+    parts, tables = parts_of(radius, k)
+    masks = np.array([((1 << n) - 1) << at for at, n in parts], np.uint64)
+    chosen = np.array(tables)
+    table = key >> 32
 
     def accepted():
         for a, b in GrayIndex(f1, key).pairs(radius):
             ok = np.bitwise_count(f2[a] ^ f2[b]) <= confirm
             a, b = a[ok], b[ok]
-            agree = (f1[a] ^ f1[b]).view(np.uint8).reshape(-1, 8) == 0
-            i = agree.argmax(1)
-            agree[np.arange(len(a)), i] = False
+            agree = ((f1[a] ^ f1[b])[:, None] & masks) == 0
+            first = np.empty((len(a), k), np.int64)
+            for i in range(k):
+                first[:, i] = agree.argmax(1)
+                agree[np.arange(len(a)), first[:, i]] = False
             # A pair that meets in several buckets counts in the first.
-            once = (byte_pairs[table[a]] == np.stack([i, agree.argmax(1)], 1)).all(1)
+            once = (chosen[table[a]] == first).all(1)
             yield a[once], b[once]
 
     root = _linked(len(key), accepted())
@@ -204,8 +225,10 @@ def _edges(key: np.ndarray, f1: np.ndarray, f2: np.ndarray, node: np.ndarray, ra
     return pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(node[root[rows]])], names=["a", "b"])
 
 
-def near_edges(nodes: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
-    """Edges (a, b) that connect the near ones of the distinct fingerprints (node, f1, f2)."""
+def near_edges(nodes: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM, k: int | None = None) -> DataFrame:
+    """Edges (a, b) that connect the near ones of the distinct fingerprints (node, f1, f2); k parts make a key."""
+    k = k or agreeing_parts(nodes.count(), radius)
+    parts, tables = parts_of(radius, k)
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -225,12 +248,17 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -
 
     def run(columns: np.ndarray) -> pa.RecordBatch:
         key, f1, f2, node = np.ascontiguousarray(columns)
-        return _edges(key, f1.view(np.uint64), f2.view(np.uint64), node, radius, confirm)
+        return _edges(key, f1.view(np.uint64), f2.view(np.uint64), node, radius, confirm, k)
 
-    def byte(i: int) -> Column:
-        return F.shiftrightunsigned("f1", 8 * i).bitwiseAND(F.lit(255))
+    def table_key(t: int, chosen: tuple[int, ...]) -> Column:
+        key, room = F.lit(t << 32), 32
+        for i in chosen:
+            at, n = parts[i]
+            room -= n
+            key = key.bitwiseOR(F.shiftleft(F.shiftrightunsigned("f1", at).bitwiseAND(F.lit((1 << n) - 1)), room))
+        return key
 
-    keys = [F.lit(t << 16).bitwiseOR(F.shiftleft(byte(i), 8)).bitwiseOR(byte(j)) for t, (i, j) in enumerate(TABLES)]
+    keys = [table_key(t, chosen) for t, chosen in enumerate(tables)]
     spread = nodes.select(F.explode(F.array(*keys)).alias("key"), "f1", "f2", "node")
     placed = spread.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key", gray_rank(F.col("f1")))
     return placed.mapInArrow(search, "a bigint, b bigint")
