@@ -2,8 +2,9 @@
 
 Words are counted over all documents, and over those labelled as good (the domain). The words whose repetition saves
 most bytes make two raw-content zstandard dictionaries, the dearest last, where matches are cheapest; each holds what
-saves nine tenths of all bytes that repetition could save, so it grows with the texts. A text's compressed size under a dictionary stands for its cross-entropy; the score is how much smaller it is under the
-domain's dictionary than under the general one, as a share of the latter.
+saves nine tenths of all bytes that repetition could save, so it grows with the texts. A text's compressed size under
+a dictionary stands for its cross-entropy; the score is how much smaller it is under the domain's dictionary than under
+the general one, as a share of the latter.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from nearfield.llm.common import keep, slices
 #: Least room for words; a larger corpus has larger dictionaries.
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
+#: Characters of the longest word; longer ones, as of scripts without blanks, count as pieces of so many.
+WORD, PIECE = 64, 16
+#: Bytes that are compressed at once: a longer text is cut, so that the dictionary serves all parts of it.
+BLOCK = 512 << 10
 #: Distinct words that a task counts before it passes them on; bounds memory, not the result.
 HELD = 1 << 19
 #: The share of the bytes that all repeated words could save that those of a dictionary save, and the bins of an octave in which that is looked for.
@@ -29,7 +34,7 @@ SHARE, BINS = 0.9, 64
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts; words are cut at white space."""
+    """(word, n) over all texts; words are cut at white space, those of over ``WORD`` characters in pieces too."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
@@ -41,7 +46,10 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for lo, hi in slices(batch.column(0)):
                 for text in batch.column(0).slice(lo, hi - lo).to_pylist():
                     if text:
-                        held.update(text.split())
+                        words = text.split()
+                        if len(text) > WORD and max(map(len, words), default=0) > WORD:
+                            words = [p for w in words for p in ([w] if len(w) <= WORD else [w[i : i + PIECE] for i in range(0, len(w), PIECE)])]
+                        held.update(words)
                 if len(held) >= HELD:
                     yield out()
                     held.clear()
@@ -82,8 +90,8 @@ def dictionary(counts: DataFrame, size: int = DICTIONARY_BYTES, share: float = S
     return b"".join(reversed(out))
 
 
-def compressed_size(text: bytes, compressor: zstandard.ZstdCompressor | None) -> int:
-    return len(compressor.compress(text))
+def compressed_size(text: bytes, compressor: zstandard.ZstdCompressor) -> int:
+    return sum(len(compressor.compress(text[i : i + BLOCK])) for i in range(0, len(text), BLOCK))
 
 
 def compressor(content: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
@@ -125,7 +133,8 @@ def compression_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     """(doc_id, domain_bytes, general_bytes, score), a row for each row; a higher score is nearer to the domain.
 
     The domain is all documents labelled with quality 1 and not toxic; without any, its dictionary is empty. A null
-    text has nulls, an empty one 0, 0 and score 0. Texts of any length are compressed whole. Repeated rows count and
+    text has nulls, an empty one 0, 0 and score 0. Texts of any length are compressed whole, in blocks of ``BLOCK`` bytes
+    each under the dictionary. Repeated rows count and
     are scored each; a document labelled twice counts once; null doc_ids have no label; an empty table gives no rows.
     Other columns aren't read.
     """

@@ -1,3 +1,4 @@
+import base64
 import random
 import re
 import time
@@ -255,6 +256,26 @@ def test_compression_of_odd_rows(spark):
     assert compression.compression_scores(docs.limit(0), labels).count() == 0
 
 
+def test_long_words_leave_room_for_others(spark):
+    blob = "".join(random.Random(1).choices("abcdefghijklmnop", k=70_000))
+    texts = [*[f"hello {blob} world"] * 3, *["hello world again"] * 300, "漢字仮名" * 100, "漢字仮名" * 100]
+    content = compression.dictionary(compression.word_counts(frame(spark, list(enumerate(texts)))))
+    words = content.decode().split()
+    assert {"hello", "world", "again"} <= set(words) and max(map(len, words)) <= compression.WORD
+
+
+def test_long_texts_use_the_dictionary_all_along(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(4000)]
+    content = " ".join(words).encode()
+    part = " ".join(rng.sample(words, 400))
+    noise = base64.b64encode(rng.randbytes(3 << 20)).decode()
+    near, far = compression.compressor(content), compression.compressor(b"")
+    def gain(text):
+        return compression.compressed_size(text.encode(), far) - compression.compressed_size(text.encode(), near)
+    assert gain(noise + part) - gain(noise) > 0.6 * gain(part)
+
+
 def test_dictionary_grows_with_the_corpus(spark):
     """Rare words of a large vocabulary are in the dictionary, and of use wherever they are in it."""
     rng = random.Random(3)
