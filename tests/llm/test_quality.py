@@ -58,7 +58,19 @@ def test_odd_rows(spark):
 
 def test_rules_are_their_sql(spark):
     docs, labels = table(spark, SF01, "documents"), table(spark, SF01, "labels")
-    assert assert_same(thresholds.apply_rules(docs, labels), thresholds.SQL_RULES, SF01) == 1000
+    judged = thresholds.apply_rules(docs, labels)
+    assert assert_same(judged, thresholds.SQL_RULES, SF01) == 1000
+    by = {r.failed: r["count"] for r in judged.groupBy("failed").count().collect()}
+    assert sum(n > 3 for failed, n in by.items() if failed not in ("", "empty")) >= 2, by
+
+
+def test_equal_texts_count_once(spark):
+    """80 good documents don't prove a risk of 5 % at an error of 1 %, however often their texts are repeated."""
+    rows = [(i, f"fine words {i % 80} here", "en", "s", 0) for i in range(800)] + [(1000 + i, f"### {i} $$$", "en", "s", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 1000), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+    kept = {error: thresholds.apply_rules(docs, labels, error=error).filter("keep").count() for error in (0.01, 0.05)}
+    assert kept == {0.01: 1000, 0.05: 800}
 
 
 def many(n=6000):
