@@ -21,7 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from nearfield.llm.common import slices
@@ -176,13 +177,16 @@ class Transducer:
         return out << 32 | self._state((last, tuple(moved)))
 
     def encode(self, data: bytes) -> tuple[int, ...]:
-        if len(self.table) >= self.max_transitions:
-            self.reset()
         table, outputs, state, out = self.table, self.outputs, 0, []
         for byte in data:
             key = state << 8 | byte
             step = table.get(key)
             if step is None:
+                if len(table) >= self.max_transitions:
+                    here = self.states[state]
+                    self.reset()
+                    table, outputs, state = self.table, self.outputs, self._state(here)
+                    key = state << 8 | byte
                 step = table[key] = self._step(state, byte)
             state = step & 0xFFFFFFFF
             if step > 0xFFFFFFFF:
@@ -308,11 +312,17 @@ def codec(path: str, transitions: int = MAX_TRANSITIONS, words: int = MAX_WORDS)
     return Codec(path, transitions, words)
 
 
+def _ship(spark: SparkSession, vocabulary: str) -> str:
+    """Send the vocabulary to all executors; the name under which they find it."""
+    spark.sparkContext.addFile(vocabulary)
+    return vocabulary.rpartition("/")[2]
+
+
 def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", text_col: str = "text", transitions: int = MAX_TRANSITIONS, words: int = MAX_WORDS) -> DataFrame:
     """Encode whole texts and decode them again: (doc_id, n_tokens, token_ids, round_trip), one row for each row.
 
     A null text has null n_tokens, token_ids and round_trip; an empty one 0, [] and true. Texts of any length are
-    encoded whole. Rows with a null or repeated doc_id are kept as they are; other columns aren't read. No shuffle.
+    encoded whole. The vocabulary is a file that the driver can read; it is shipped to the executors. Rows with a null or repeated doc_id are kept as they are; other columns aren't read. No shuffle.
     """
     schema = T.StructType([
         T.StructField("doc_id", docs.schema[id_col].dataType),
@@ -321,8 +331,10 @@ def encode_documents(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_c
         T.StructField("round_trip", T.BooleanType()),
     ])
 
+    shipped = _ship(docs.sparkSession, vocabulary)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(vocabulary, transitions, words)
+        both = codec(SparkFiles.get(shipped), transitions, words)
         kind = pa.list_(pa.field("element", pa.int32(), nullable=False))
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
@@ -349,8 +361,10 @@ def decode_tokens(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_co
     """Decode arrays of tokens: (doc_id, text). Null arrays give null, empty ones ''; ill-formed UTF-8 gives U+FFFD; a null or unknown token is an error."""
     schema = T.StructType([T.StructField("doc_id", tokens.schema[id_col].dataType), T.StructField("text", T.StringType())])
 
+    shipped = _ship(tokens.sparkSession, vocabulary)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(vocabulary)
+        both = codec(SparkFiles.get(shipped))
         for batch in batches:
             texts = [None if t is None else both.decode(np.array(t, np.int32)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)

@@ -1,4 +1,5 @@
 import base64
+import random
 
 import pytest
 import tiktoken
@@ -55,6 +56,13 @@ def test_small_tables_are_emptied_and_refilled():
         assert list(small.encode(word)) == [ranks[t] for t in bpe.merge(ranks, word)]
 
 
+def test_one_long_piece_keeps_the_bound():
+    ranks = bpe.load_ranks(PATH)
+    small, large = bpe.Transducer(ranks, max_transitions=100), bpe.Transducer(ranks)
+    word = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=20_000)).encode()
+    assert small.encode(word) == large.encode(word) and len(small.table) <= 100 < len(large.table)
+
+
 def test_documents(spark, brute):
     rows = [(1, "hello world", "x"), (1, "hello world", "x"), (2, None, "x"), (3, "", "y"), (None, "naïve " * 5000, "z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string")
