@@ -40,16 +40,43 @@ def fill_template(template: str, fields: dict[str, Column]) -> Column:
     return F.trim(F.concat(*parts)) if parts else F.lit("")
 
 
+def n_tokens(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
+    """The number of ``tokens``; 0 for null."""
+    return F.size(tokens(text, stop_words))
+
+
+def occurrences(lowered: Column, term: str) -> Column:
+    """How often ``term`` is among the ``tokens`` of a text, both in lower case; 0 for null. Texts without it are told by a plain search."""
+    pattern = rf"(?<![\p{{L}}\p{{Nd}}]){re.escape(term)}(?![\p{{L}}\p{{Nd}}])"
+    return F.when(lowered.contains(term), F.regexp_count(lowered, F.lit(pattern))).otherwise(F.lit(0))
+
+
+def _step(size: int, overlap: int) -> int:
+    return size - (size // 4 if overlap >= size else overlap)
+
+
+def n_chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
+    """The number of ``chunks``, from the length alone."""
+    return F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(_step(size, overlap))))).cast("int") + 1
+
+
 def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
     """Array of chunks of ``size`` characters, each ``overlap`` into the one before, ends trimmed; the last reaches the end.
 
-    An overlap of the size or more counts as a quarter of the size. A text that fits is one chunk; null gives null.
+    An overlap of the size or more counts as a quarter of the size. A text that fits is one chunk; null gives null. The
+    text is cut in steps in one pass, and a chunk put together from those it spans, so that a long text isn't searched
+    from its beginning for each.
     """
-    if overlap >= size:
-        overlap = size // 4
-    step = size - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / F.lit(float(step)))).cast("int")
-    return F.when(text.isNotNull(), F.transform(F.sequence(F.lit(0), last), lambda i: F.trim(F.substring(text, i * step + 1, F.lit(size)))))
+    step = _step(size, overlap)
+    steps = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    spans = -(-size // step)
+
+    def cut(parts: Column, i: Column) -> Column:
+        return F.trim(F.substring(F.concat(*[F.coalesce(F.get(parts, i + j), F.lit("")) for j in range(spans)]), 1, size))
+
+    # The steps are named once, as the only element of an array, or each chunk would cut the text again.
+    made = F.flatten(F.transform(F.array(steps), lambda parts: F.transform(F.sequence(F.lit(0), n_chunks(text, size, overlap) - 1), lambda i: cut(parts, i))))
+    return F.when(text.isNotNull(), made)
 
 
 def hashed_embedding(text: Column, dims: int = 64, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:

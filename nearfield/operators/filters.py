@@ -2,13 +2,14 @@
 
 A condition on a field that is missing, null or of another type is false, but for ``ne``, ``nin``, ``is_null`` and a
 negation; with ``compat=True`` a missing number counts as 0 in ``gte`` and ``lte``, as older clients expect. Strings
-compare without regard to case. The empty AND, OR and NOT are true. Compiled filters use plain columns of the table
-where they exist, so that they reach the scan, and paths of a variant column ``payload`` elsewhere.
+compare without regard to case. The empty AND, OR and NOT are true. Compiled filters compare plain columns of the table
+where they exist, in their own type, so that they reach the scan, and paths of a variant column ``payload`` elsewhere.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -97,6 +98,10 @@ class Fields:
         texts = {"string": type_of == "STRING", "double": ~type_of.isin("STRING", "BOOLEAN") & ~type_of.startswith("ARRAY"), "boolean": type_of == "BOOLEAN"}
         return F.when(texts[kind], value) if kind in texts else value
 
+    def own(self, name: str) -> Column:
+        """A plain column as it is."""
+        return F.col(f"`{self.kinds[name.lower()][0]}`")
+
     def missing(self, name: str) -> Column:
         head, _, rest = name.partition(".")
         known = self.kinds.get(head.lower())
@@ -117,57 +122,98 @@ def _truth(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _equal(fields: Fields, name: str, value: Any) -> Column:
-    if value is None:
-        return fields.missing(name)
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+_FLIPPED = {"gt": "__gt__", "gte": "__ge__", "lt": "__lt__", "lte": "__le__"}
+
+
+def _number(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def _compare(fields: Fields, name: str, op: str, value: float) -> Column:
+    """A comparison with a number; with an integer column in whole numbers, so that it is exact and the scan can use it."""
+    if fields.kind(name) in _INTEGERS and math.isfinite(value):
+        if not float(value).is_integer():
+            value = math.floor(value) if op in ("gt", "lte") else math.ceil(value)
+        value = int(value)
+        if abs(value) >= 1 << 63:
+            return fields.own(name).isNotNull() & F.lit((value < 0) == (op in ("gt", "gte")))
+        return getattr(fields.own(name), _FLIPPED[op])(F.lit(value))
+    return getattr(fields.get(name, "double"), _FLIPPED[op])(F.lit(float(value)))
+
+
+def _any_case(column: Column, values: Sequence[str]) -> Column:
+    """Whether a text is one of the values but for case. Bounds in plain comparisons, which the scan can use, come first."""
+    lowered = sorted({v.lower() for v in values})
+    test = F.lower(column).isin(*lowered) if len(lowered) > 1 else F.lower(column) == lowered[0]
+    if not all(v.isascii() for v in lowered):
+        return test
+    # Of all that is lower-cased to an ASCII text, the capitals come first and the Kelvin sign last.
+    low, high = min(v.upper() for v in lowered), max(v.replace("k", "\u212a") for v in lowered)
+    return (column >= low) & (column <= high) & test
+
+
+def _one_of(fields: Fields, name: str, values: Sequence[Any]) -> Column:
+    """Whether the field equals one of the values; null may stand for false."""
     if fields.is_array(name):
-        return _truth(F.exists(fields.get(name, "string"), lambda x: F.lower(x.cast("string")) == str(value).lower()))
-    if isinstance(value, bool):
-        return _truth(fields.get(name, "boolean") == value)
-    if isinstance(value, (int, float)):
-        kind = fields.kind(name)
-        if kind in ("int", "bigint", "smallint") and isinstance(value, int):
-            return _truth(F.col(f"`{fields.kinds[name.lower()][0]}`") == value)  # as it is, so that the scan can use it
-        return _truth(fields.get(name, "double") == float(value))
-    if isinstance(value, str):
-        return _truth(F.lower(fields.get(name, "string")) == value.lower())
-    raise FilterError(f"can't compare {name} with {type(value).__name__}")
+        texts = [str(v).lower() for v in values if v is not None]
+        found = F.exists(fields.get(name, "string"), lambda x: F.lower(x.cast("string")).isin(*texts)) if texts else F.lit(False)
+        return found | fields.missing(name) if None in values else found
+    tests = []
+    for v in values:
+        if v is not None and not isinstance(v, (bool, int, float, str)):
+            raise FilterError(f"can't compare {name} with {type(v).__name__}")
+    if None in values:
+        tests.append(fields.missing(name))
+    if flags := {v for v in values if isinstance(v, bool)}:
+        tests.append(fields.get(name, "boolean").isin(*flags))
+    if numbers := sorted({v for v in values if _number(v)}):
+        if fields.kind(name) in _INTEGERS:
+            whole = [int(v) for v in numbers if math.isfinite(v) and float(v).is_integer() and abs(v) < 1 << 63]
+            tests.append(fields.own(name).isin(*whole) if whole else F.lit(False))
+        else:
+            tests.append(fields.get(name, "double").isin(*map(float, numbers)))
+    if texts := [v for v in values if isinstance(v, str)]:
+        tests.append(_any_case(fields.get(name, "string"), texts))
+    return reduce(lambda a, b: a | b, tests, F.lit(False)) if len(tests) != 1 else tests[0]
 
 
 def _condition(fields: Fields, c: Condition, compat: bool) -> Column:
+    """The condition as a column that may be null for false."""
     name, op, value = c.field, c.op, c.value
     if op not in OPERATORS:
         raise FilterError(f"unknown operator {op}")
     if op == "eq":
-        return _equal(fields, name, value)
+        return _one_of(fields, name, [value])
     if op == "ne":
-        return ~_equal(fields, name, value)
+        return ~_truth(_one_of(fields, name, [value]))
     if op in ("in", "nin"):
         if not isinstance(value, Sequence) or isinstance(value, str):
             raise FilterError(f"{op} takes a list")
-        found = reduce(lambda a, b: a | b, (_equal(fields, name, v) for v in value), F.lit(False))
-        return found if op == "in" else ~found
+        found = _one_of(fields, name, value)
+        return found if op == "in" else ~_truth(found)
     if op in ("gt", "gte", "lt", "lte"):
-        number = fields.get(name, "double")
-        if isinstance(value, bool) or not isinstance(value, (int, float)):
-            return F.lit(compat and op in ("gte", "lte"))
-        test = {"gt": number > value, "gte": number >= value, "lt": number < value, "lte": number <= value}[op]
-        return F.coalesce(test, F.lit(compat and op in ("gte", "lte")))
+        kept = compat and op in ("gte", "lte")
+        if not _number(value):
+            return F.lit(kept)
+        test = _compare(fields, name, op, value)
+        return F.coalesce(test, F.lit(True)) if kept else test
     if op == "range":
         low, high = value
-        if any(isinstance(x, bool) or not isinstance(x, (int, float)) for x in (low, high)):
+        if not (_number(low) and _number(high)):
             return F.lit(False)
-        return _truth(fields.get(name, "double").between(low, high))
+        return _compare(fields, name, "gte", low) & _compare(fields, name, "lte", high)
     if op in ("contains", "starts_with", "ends_with"):
+        if fields.is_array(name):
+            return _one_of(fields, name, [value])
         text = F.lower(fields.get(name, "string"))
-        method = {"contains": text.contains, "starts_with": text.startswith, "ends_with": text.endswith}[op]
-        return _truth(method(str(value).lower())) if not fields.is_array(name) else _equal(fields, name, value)
+        return {"contains": text.contains, "starts_with": text.startswith, "ends_with": text.endswith}[op](str(value).lower())
     if op == "is_null":
         return fields.missing(name)
     if op == "is_not_null":
         return ~fields.missing(name)
     if op == "all":
-        return reduce(lambda a, b: a & b, (_equal(fields, name, v) for v in value), F.lit(True))
+        return reduce(lambda a, b: a & b, (_one_of(fields, name, [v]) for v in value), F.lit(True))
     if op == "count":
         return all_counts(F.size(fields.get(name, "string")), value) if fields.is_array(name) else F.lit(False)
     if op == "is_empty":
@@ -175,13 +221,13 @@ def _condition(fields: Fields, c: Condition, compat: bool) -> Column:
     if op == "datetime":
         stamp = fields.get(name, "timestamp")
         tests = [{"gt": stamp > v, "gte": stamp >= v, "lt": stamp < v, "lte": stamp <= v}[k] for k, v in ((k, F.lit(v).cast("timestamp")) for k, v in value.items())]
-        return _truth(reduce(lambda a, b: a & b, tests, F.lit(True)))
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
     lat, lon = fields.get(f"{name}.lat", "double"), fields.get(f"{name}.lon", "double")
     if op == "geo_radius":
-        return _truth(geo.haversine_km(lat, lon, value["lat"], value["lon"]) <= value["km"])
+        return geo.haversine_km(lat, lon, value["lat"], value["lon"]) <= value["km"]
     if op == "geo_box":
-        return _truth(geo.in_box(lat, lon, value["top"], value["left"], value["bottom"], value["right"]))
-    return _truth(geo.in_polygon(lat, lon, value["exterior"], value.get("holes", ())))
+        return geo.in_box(lat, lon, value["top"], value["left"], value["bottom"], value["right"])
+    return geo.in_polygon(lat, lon, value["exterior"], value.get("holes", ()))
 
 
 def all_counts(size: Column, bounds: Mapping[str, float]) -> Column:
@@ -189,16 +235,22 @@ def all_counts(size: Column, bounds: Mapping[str, float]) -> Column:
     return _truth(reduce(lambda a, b: a & b, tests, F.lit(True)))
 
 
-def compile_filter(df: DataFrame, tree: Condition | Group | None, compat: bool = False) -> Column:
-    """The tree as a boolean column, never null; None is true."""
+def compile_filter(df: DataFrame, tree: Condition | Group | None, compat: bool = False, total: bool = False) -> Column:
+    """The tree as a boolean column for a filter; None is true.
+
+    It may be null where it is false, as a filter takes null for false: only so do comparisons reach the scan. With
+    ``total`` it is never null.
+    """
     fields = Fields(df)
 
-    def walk(node) -> Column:
+    def walk(node, exact: bool) -> Column:
+        """``exact``: within a negation or a count, where null isn't false."""
         if node is None:
             return F.lit(True)
         if isinstance(node, Condition):
-            return _condition(fields, node, compat)
-        parts = [walk(p) for p in node.parts]
+            found = _condition(fields, node, compat)
+            return _truth(found) if exact else found
+        parts = [walk(p, exact or node.kind not in ("and", "or")) for p in node.parts]
         if not parts:
             return F.lit(True)
         if node.kind == "and":
@@ -209,7 +261,7 @@ def compile_filter(df: DataFrame, tree: Condition | Group | None, compat: bool =
             return ~reduce(lambda a, b: a | b, parts)
         return reduce(lambda a, b: a + b, (p.cast("int") for p in parts)) >= node.least
 
-    return walk(tree)
+    return walk(tree, total)
 
 
 def from_json(text: str | Mapping) -> Condition | Group:

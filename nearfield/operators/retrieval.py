@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from hashlib import md5
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.text import STOP_WORDS, tokens
+from nearfield.functions.text import STOP_WORDS, chunks, n_chunks, n_tokens, occurrences, tokens
 
 K1, B = 1.2, 0.75
 
@@ -50,26 +54,28 @@ def query_terms(query: str, stop_words: Sequence[str] = STOP_WORDS) -> dict[str,
 def bm25(docs: DataFrame, query: str | Mapping[str, float], k: int = 10, id_col: str = "id", text_col: str = "text", fields: Mapping[str, float] | None = None, k1: float = K1, b: float = B, where: Column | None = None) -> DataFrame:
     """(id, score): the k best texts; a term that the query has twice counts twice.
 
-    One pass gives each text's length and its counts of the query's terms, without a posting for other terms; document
-    frequencies and the average length, over all texts with any term, are one small aggregate. ``where`` limits the
-    texts that are returned, not those that the statistics are taken over.
+    Each text's length and its counts of the query's terms are counted by expressions, without cutting it into words or
+    making postings; document frequencies and the average length, over all texts with any term, are one small
+    aggregate. ``where`` limits the texts that are returned, not those that the statistics are taken over.
     """
     weights = dict(query_terms(query)) if isinstance(query, str) else dict(query)
     if not weights:
         return docs.sparkSession.createDataFrame([], f"id {docs.schema[id_col].dataType.simpleString()}, score double")
     chosen = {text_col: 1.0} if fields is None else dict(fields)
-    words = {f: f"words_{i}" for i, f in enumerate(chosen)}
-    keep = (where if where is not None else F.lit(True)).alias("wanted")
-    rows = docs.select(F.col(id_col).alias("id"), keep, *[tokens(F.col(f)).alias(w) for f, w in words.items()])
     terms = {t: f"tf_{i}" for i, t in enumerate(weights)}
-
-    def tf(term: str) -> Column:
-        return sum((boost * F.size(F.filter(words[f], lambda w: w == term)) for f, boost in chosen.items()), F.lit(0.0))
-
-    length = F.size(words[text_col]) if text_col in words else sum((F.size(w) for w in words.values()), F.lit(0))
-    rows = rows.select("id", "wanted", length.alias("length"), *[tf(t).alias(c) for t, c in terms.items()]).filter("length > 0")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"d{c}") for c in terms.values()])
-    scored = rows.filter("wanted").crossJoin(F.broadcast(total))
+    texts = {f: f"text_{i}" for i, f in enumerate(chosen)}
+    lowered = {f: f"lower_{i}" for i, f in enumerate(chosen)}
+    own = [texts[text_col]] if text_col in chosen else list(texts.values())
+    length = sum((n_tokens(F.col(c)) for c in own[1:]), n_tokens(F.col(own[0]))).alias("length")
+    tfs = [sum((float(boost) * occurrences(F.col(lowered[f]), t) for f, boost in chosen.items()), F.lit(0.0)).alias(c) for t, c in terms.items()]
+    base = spread(docs).select(F.col(id_col).alias("id"), (where if where is not None else F.lit(True)).alias("wanted"), *[F.col(f).alias(c) for f, c in texts.items()], *[F.lower(F.col(f)).alias(c) for f, c in lowered.items()])
+    # Exploding one struct keeps filters above it, where they use what is counted instead of counting again.
+    counted = base.select(F.explode(F.array(F.struct(length, *tfs))).alias("x")).select("x.*").filter("length > 0")
+    total = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"), *[F.sum((F.col(c) > 0).cast("int")).alias(f"d{c}") for c in terms.values()])
+    # The length of a text without any of the terms isn't asked for here.
+    hits = base.filter("wanted").select("id", *own, F.explode(F.array(F.struct(*tfs))).alias("x")).select("id", *own, "x.*")
+    hits = hits.filter(" OR ".join(f"{c} > 0" for c in terms.values())).select("id", *terms.values(), F.explode(F.array(length)).alias("length")).filter("length > 0")
+    scored = hits.crossJoin(F.broadcast(total))
     parts = [
         F.when(F.col(c) > 0, F.lit(float(weights[t])) * _idf(F.col("n"), F.col(f"d{c}")) * F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))).otherwise(0.0)
         for t, c in terms.items()
@@ -78,12 +84,28 @@ def bm25(docs: DataFrame, query: str | Mapping[str, float], k: int = 10, id_col:
     return scored.orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def bm25_terms(index: DataFrame, query: Mapping[int, float], k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) over numbered terms: ``index`` has (id, term, tf); query weights multiply."""
-    sizes = index.groupBy("id").agg(F.sum("tf").alias("length"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores before heavy work on each row, where there are fewer pieces of input than cores (a small table in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def text_lengths(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, length): the number of each text's terms, without an index."""
+    return spread(docs).select(F.col(id_col).alias("id"), F.explode(F.array(n_tokens(F.col(text_col)).cast("double"))).alias("length"))
+
+
+def bm25_terms(index: DataFrame, query: Mapping[int, float], k: int = 10, k1: float = K1, b: float = B, lengths: DataFrame | None = None) -> DataFrame:
+    """(id, score) over numbered terms: ``index`` has (id, term, tf); query weights multiply.
+
+    ``lengths`` (id, length), where they are known, spare a pass over all postings; the query's terms alone are read.
+    Lengths of 0 don't count.
+    """
+    sizes = index.groupBy("id").agg(F.sum("tf").alias("length")) if lengths is None else lengths
+    some = F.when(F.col("length") > 0, F.col("length"))
+    stats = sizes.agg(F.count(some).alias("n"), F.avg(some).alias("avg_length"))
     asked = index.sparkSession.createDataFrame([(int(t), float(w)) for t, w in query.items()], "qterm bigint, weight double")
-    hits = index.join(asked, F.col("term") == F.col("qterm"))
+    hits = index.filter(F.col("term").isin(*[int(t) for t in query])).join(F.broadcast(asked), F.col("term") == F.col("qterm"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rows = hits.join(df, "term").join(sizes, "id").crossJoin(F.broadcast(stats))
     part = F.col("weight") * _idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avg_length")))
@@ -97,16 +119,67 @@ def sparse_postings(points: DataFrame, id_col: str = "id", sparse_col: str = "sp
 
 
 def sparse_search(index: DataFrame, query: Mapping[int, float], k: int = 10, where_ids: DataFrame | None = None) -> DataFrame:
-    """(id, score): the k points of the highest dot product, of those that share a dimension with the query."""
+    """(id, score): the k points of the highest dot product, of those that share a dimension with the query.
+
+    Only postings of the query's dimensions are read: they are filtered below any aggregate that makes the index, and
+    in the scan of a stored one.
+    """
     asked = index.sparkSession.createDataFrame([(int(d), float(w)) for d, w in query.items()], "qdim bigint, qweight double")
-    hits = index.join(F.broadcast(asked), F.col("dim") == F.col("qdim"))
+    hits = index.filter(F.col("dim").isin(*[int(d) for d in query])).join(F.broadcast(asked), F.col("dim") == F.col("qdim"))
     if where_ids is not None:
         hits = hits.join(where_ids, "id", "left_semi")
     return hits.groupBy("id").agg(F.sum(F.col("weight") * F.col("qweight")).alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def hashed_terms(docs: DataFrame, dims: int = 4096, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, dim, weight): a sparse vector of each text, its words hashed to dimensions and counted."""
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("w"))
-    dim = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % dims
-    return words.groupBy("id", dim.alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def hashed_terms(docs: DataFrame, dims: int = 4096, id_col: str = "id", text_col: str = "text", only: Sequence[int] | None = None) -> DataFrame:
+    """(id, dim, weight): a sparse vector of each text, its words hashed to dimensions and counted; of some dimensions if ``only``.
+
+    Words are cut in the JVM, and counted for each text in Arrow batches, every different word of a batch being hashed
+    once; nothing is shuffled. Ids are unique, as in a collection.
+    """
+    wanted = None if only is None else np.unique(np.array(list(only), np.int64))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            coded = words.flatten().dictionary_encode()
+            dim_of = np.array([int(md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            dim = dim_of[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+            if wanted is not None:
+                some = np.isin(dim, wanted)
+                row, dim = row[some], dim[some]
+            place, n = np.unique(row * dims + dim, return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place // dims)), pa.array(place % dims), pa.array(n.astype(np.float64))], names=["id", "dim", "weight"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return spread(docs).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).mapInArrow(run, f"id {kind}, dim bigint, weight double")
+
+
+def chunk_points(docs: DataFrame, size: int = 500, overlap: int = 50, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Texts as points of their chunks: (id, parent_id, chunk_index, chunk_total, chunk) and the other columns.
+
+    A chunk's id is the parent's with ``_chunk_<index>``. A text of one chunk stays the point that it was: its own id, a
+    null parent, index and total. An empty text is one empty chunk; a null one is a null chunk. ``id`` is a string.
+    """
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    cut = spread(docs).select(F.col(id_col).cast("string").alias("own"), *others, F.coalesce(n_chunks(F.col(text_col), size, overlap), F.lit(1)).alias("total"), chunks(F.col(text_col), size, overlap).alias("parts"))
+    rows = cut.select("own", *others, "total", F.posexplode_outer("parts").alias("pos", "chunk"))
+    several = F.col("total") > 1
+    return rows.select(
+        F.when(several, F.concat("own", F.lit("_chunk_"), F.col("pos").cast("string"))).otherwise(F.col("own")).alias("id"),
+        F.when(several, F.col("own")).alias("parent_id"), F.when(several, F.col("pos")).alias("chunk_index"), F.when(several, F.col("total")).alias("chunk_total"), "chunk", *others,
+    )
+
+
+def without_documents(index: DataFrame, ids: DataFrame | Sequence) -> DataFrame:
+    """Postings without those of some documents."""
+    if isinstance(ids, DataFrame):
+        return index.join(ids.select("id").distinct(), "id", "left_anti")
+    return index.filter(~F.col("id").isin(*ids) | F.col("id").isNull())
+
+
+def replace_documents(index: DataFrame, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Postings in which those of ``docs`` take the place of what the index has of the same ids; a text without terms leaves none."""
+    new = postings(docs, id_col, text_col, positions="positions" in index.columns)
+    return without_documents(index, docs.select(F.col(id_col).alias("id"))).unionByName(new)

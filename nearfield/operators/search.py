@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,15 +63,63 @@ def within(df: DataFrame, query: Sequence[float] | Column, radius: float, metric
     return found.orderBy("distance", id_col)
 
 
+#: What a metric's score is for vectors of unequal lengths, as in single searches.
+_UNEQUAL = {"cosine": 0.0, "angular": 1.0 - np.pi / 2, "euclidean": 1.0, "squared_euclidean": 1.0, "dot_product": 1.0, "max_inner_product": 1.0, "manhattan": 1.0 - V.MAX_FLOAT, "chebyshev": 1.0 - V.MAX_FLOAT, "minkowski": 1.0 - V.MAX_FLOAT}
+
+
 def _block_scores(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all queries against all points, for any of ``V.METRICS``."""
+    if metric in ("manhattan", "chebyshev", "minkowski"):
+        fold = {
+            "manhattan": lambda d: d.sum(1),
+            "chebyshev": lambda d: d.max(1, initial=0.0),
+            "minkowski": lambda d: (d**3.0).sum(1) ** (1 / 3.0),
+        }[metric]
+        return np.stack([1.0 - fold(np.abs(points - q)) for q in queries]) if len(queries) else np.zeros((0, len(points)))
     product = queries @ points.T
     if metric in ("dot_product", "max_inner_product"):
         return 1.0 + product
-    if metric == "euclidean":
-        squared = (queries**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * product
-        return 1.0 - np.sqrt(np.maximum(squared, 0))
+    if metric in ("euclidean", "squared_euclidean"):
+        squared = np.maximum((queries**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * product, 0)
+        return 1.0 - (np.sqrt(squared) if metric == "euclidean" else squared)
+    if metric not in ("cosine", "angular"):
+        raise SearchError(f"unknown metric {metric}")
     scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(points, axis=1)[None]
-    return np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+    similar = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
+    return similar if metric == "cosine" else 1.0 - np.arccos(np.clip(similar, -1, 1))
+
+
+def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) of the vectors of each length."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = []
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        own = column if len(at) == len(column) else column.take(pa.array(at))
+        out.append((at, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(n))))
+    return out
+
+
+def _block_hits(q_ids: np.ndarray, queries: pa.Array, ids: np.ndarray, points: pa.Array, k: int, metric: str, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    """(query_id, id, score): each query's k best of a block of points."""
+    split = _matrices(points)
+    for places, q in _matrices(queries):
+        for lo in range(0, len(places), BLOCK):
+            own = q_ids[places[lo : lo + BLOCK]]
+            block = np.full((len(own), len(ids)), _UNEQUAL[metric])
+            for at, matrix in split:
+                if matrix.shape[1] == q.shape[1]:
+                    block[:, at] = _block_scores(matrix, q[lo : lo + BLOCK], metric)
+            out_q, out_i, out_s = [], [], []
+            for row, q_id in zip(block, own, strict=True):
+                if skip_self:
+                    row = np.where(ids == q_id, -np.inf, row)
+                best = _best(row, ids, k)
+                best = best[np.isfinite(row[best])]
+                out_q.append(np.full(len(best), q_id))
+                out_i.append(ids[best])
+                out_s.append(row[best])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -87,50 +136,41 @@ def nearest_batch(points: DataFrame, queries: DataFrame, k: int = 10, metric: st
     """(query_id, id, score, rank) of each query's k best points; ids are bigint. ``skip_self`` leaves out the point of the query's own id.
 
     Each task scores its points against all queries and passes on the k best of each, so k rows a query and task are
-    shuffled. A batch beyond ``BROADCAST_BYTES`` is cut into blocks that are joined with the points.
+    shuffled. Queries of up to ``BROADCAST_BYTES`` travel to the tasks; more are cut into blocks, as are the points, and
+    each block of queries meets each block of points in a task of its own. Both ways give the same rows, for any metric;
+    vectors of unequal lengths score as in single searches.
     """
-    size = queries.agg(F.sum(F.size(query_vector) * 8)).first()[0] or 0
+    metric = metric if metric in V.METRICS else "cosine"  # as ``V.distance`` has it
+    spark = points.sparkSession
     schema = "query_id bigint, id bigint, score double"
-
-    def score(ids: np.ndarray, matrix: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(q_ids), BLOCK):
-            block = _block_scores(matrix, q[lo : lo + BLOCK], metric)
-            out_q, out_i, out_s = [], [], []
-            for row, q_id in zip(block, q_ids[lo : lo + BLOCK], strict=True):
-                if skip_self:
-                    row = np.where(ids == q_id, -np.inf, row)
-                best = _best(row, ids, k)
-                best = best[np.isfinite(row[best])]
-                out_q.append(np.full(len(best), q_id))
-                out_i.append(ids[best])
-                out_s.append(row[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
-
-    def matrix_of(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-    def local(rows: Iterable[tuple[np.ndarray, np.ndarray]], q_ids: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for ids, matrix in rows:
-            yield from score(ids, matrix, q_ids, q)
-
     rows = points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).filter("vector IS NOT NULL AND id IS NOT NULL")
-    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("query_vector")).filter("query_vector IS NOT NULL")
+    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("query_vector")).filter("query_vector IS NOT NULL AND query_id IS NOT NULL")
+    size = asked.agg(F.sum(F.size("query_vector") * 8 + 8)).first()[0] or 0
+    if not size:
+        return spark.createDataFrame([], schema + ", rank int")
     if size <= BROADCAST_BYTES:
-        table = asked.toArrow()
-        if not table.num_rows:
-            return points.sparkSession.createDataFrame([], schema + ", rank int")
-        q_ids, q = table["query_id"].to_numpy(), matrix_of(table["query_vector"].combine_chunks())
-        shared = points.sparkSession.sparkContext.broadcast((q_ids, q))
+        table = asked.toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((table["query_id"].to_numpy(), table["query_vector"].chunk(0)))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from local(((b.column(0).to_numpy(), matrix_of(b.column(1))) for b in batches if b.num_rows), *shared.value)
+            for batch in batches:
+                if batch.num_rows:
+                    yield from _block_hits(*shared.value, batch.column(0).to_numpy(), batch.column(1), k, metric, skip_self)
 
         found = rows.mapInArrow(run, schema)
     else:
-        score_of = V.score(metric, F.col("vector"), F.col("query_vector"))
-        pairs = asked.crossJoin(rows)
-        pairs = pairs.filter("query_id <> id") if skip_self else pairs
-        found = pairs.select("query_id", "id", score_of.alias("score"))
+        held = rows.agg(F.sum(F.size("vector") * 8 + 8)).first()[0] or 0
+        n_q, n_p = (max(1, -(-n // BROADCAST_BYTES)) for n in (size, held))
+
+        def meet(asked: pa.Table, points: pa.Table) -> pa.Table:
+            if not asked.num_rows or not points.num_rows:
+                return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            asked, points = asked.combine_chunks(), points.combine_chunks()
+            return pa.Table.from_batches(_block_hits(asked["query_id"].to_numpy(), asked["query_vector"].chunk(0), points["id"].to_numpy(), points["vector"].chunk(0), k, metric, skip_self))
+
+        left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)).cast("array<bigint>")).alias("p_block"))
+        right = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(n_p)).alias("p_block"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")).alias("q_block"))
+        found = left.groupBy("q_block", "p_block").cogroup(right.groupBy("q_block", "p_block")).applyInArrow(meet, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -212,7 +252,10 @@ def context_search(df: DataFrame, pairs: Sequence[tuple], target: Sequence[float
 
 
 def grouped(df: DataFrame, query: Sequence[float] | Column, group_col: str, groups: int = 10, group_size: int = 3, metric: str = "cosine", where: Column | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
-    """The best ``group_size`` points of each of the ``groups`` whose best point is best; over all rows. A null group is "__none__"."""
+    """The best ``group_size`` points of each of the ``groups`` whose best point is best; over all rows. A null group is "__none__".
+
+    Spark keeps the first ``group_size`` of each group in each task (``WindowGroupLimit``), so no hot group is shuffled whole.
+    """
     rows = df if where is None else df.filter(where)
     rows = rows.withColumn("group_key", F.coalesce(F.col(group_col).cast("string"), F.lit("__none__"))).withColumn("score", V.score(metric, F.col(vector_col), _query(query)))
     order = [F.col("score").desc(), F.col(id_col)]

@@ -113,20 +113,42 @@ def radius_search(spark, sf_dir):
     return search.within(df, F.col("asked"), 1.35).select("id", rounded("distance"))
 
 
-@query(
-    "batch_search",
-    f"""
+def batch_sql(score: str) -> str:
+    """Ten best of all points for each point whose id divides by 20."""
+    score = score.replace("q.v", "q.embedding::DOUBLE[]")
+    return f"""
 SELECT query_id, id, round(score, 6) AS score, rank::INTEGER AS rank FROM (
-  SELECT q.vec_id AS query_id, e.vec_id AS id, {COS.replace("q.v", "q.embedding::DOUBLE[]")} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.replace("q.v", "q.embedding::DOUBLE[]")} DESC, e.vec_id) AS rank
-  FROM embeddings q, embeddings e WHERE q.label = 3
+  SELECT q.vec_id AS query_id, e.vec_id AS id, {score} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, e.vec_id) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0
 ) WHERE rank <= 10
-""",
-)
-def batch_search(spark, sf_dir):
-    """The ten best points for every point of a label at once."""
+"""
+
+
+def batch(spark, sf_dir, metric):
     df = points(spark, sf_dir)
-    queries = df.filter("label = 3").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    return search.nearest_batch(df, queries).select("query_id", "id", rounded(), "rank")
+    queries = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return search.nearest_batch(df, queries, metric=metric).select("query_id", "id", rounded(), "rank")
+
+
+@query("batch_search", batch_sql(COS))
+def batch_search(spark, sf_dir):
+    """The ten best points for every twentieth point at once."""
+    return batch(spark, sf_dir, "cosine")
+
+
+@query("batch_euclidean", batch_sql(f"1 - {L2}"))
+def batch_euclidean(spark, sf_dir):
+    return batch(spark, sf_dir, "euclidean")
+
+
+@query("batch_manhattan", batch_sql("1 - list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.v), lambda x: abs(x[1] - x[2])))"))
+def batch_manhattan(spark, sf_dir):
+    return batch(spark, sf_dir, "manhattan")
+
+
+@query("batch_chebyshev", batch_sql("1 - list_max(list_transform(list_zip(e.embedding::DOUBLE[], q.v), lambda x: abs(x[1] - x[2])))"))
+def batch_chebyshev(spark, sf_dir):
+    return batch(spark, sf_dir, "chebyshev")
 
 
 @query("recommend", top_sql(COS, "vec_id <> 5", 10, 0, 5))

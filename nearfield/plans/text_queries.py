@@ -99,7 +99,7 @@ def sparse_vectors(spark, sf_dir):
 
 @query("sparse_search", f"SELECT id, round(score, 6) AS score FROM (SELECT id, sum(weight * w) AS score FROM {HASHED} JOIN (VALUES {ASKED}) q(d, w) ON dim = d GROUP BY id) ORDER BY score DESC, id LIMIT 10")
 def sparse_search(spark, sf_dir):
-    index = retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id")
+    index = retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id", only=ASK)
     return retrieval.sparse_search(index, ASK).select("id", rounded())
 
 
@@ -115,12 +115,9 @@ SELECT id, round(score, 6) AS score FROM (
 )
 def sparse_bm25(spark, sf_dir):
     """BM25 over numbered terms, with weights in the query."""
-    index = retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id").select("id", F.col("dim").alias("term"), F.col("weight").alias("tf"))
-    return retrieval.bm25_terms(index, ASK).select("id", rounded())
-
-
-def _pair(x: int, y: int) -> str:
-    return f"(SELECT map_from_entries(list((dim, weight))) FROM {HASHED} WHERE id = {x})"
+    index = retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id", only=ASK).select("id", F.col("dim").alias("term"), F.col("weight").alias("tf"))
+    lengths = retrieval.text_lengths(docs(spark, sf_dir), "doc_id")
+    return retrieval.bm25_terms(index, ASK, lengths=lengths).select("id", rounded())
 
 
 @query(
@@ -144,7 +141,7 @@ def dense_hits(spark, sf_dir, k: int, of: int = 0):
 
 
 def sparse_hits(spark, sf_dir, k: int):
-    return retrieval.sparse_search(retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id"), ASK, k)
+    return retrieval.sparse_search(retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id", only=ASK), ASK, k)
 
 
 def text_hits(spark, sf_dir, k: int):
@@ -231,14 +228,34 @@ def diverse_hits(spark, sf_dir):
 CHUNKS = "list_transform(range(0, greatest(0, ceil((length(text) - 500) / 450.0))::BIGINT + 1), lambda i: trim(substr(text, i * 450 + 1, 500), ' '))"
 
 
-@query("chunks", f"SELECT doc_id || '_chunk_' || i AS id, doc_id AS parent_id, i AS chunk_index, total AS chunk_total, md5(c) AS chunk FROM (SELECT doc_id, unnest({CHUNKS}) AS c, unnest(range(0, len({CHUNKS}))) AS i, len({CHUNKS}) AS total FROM documents)")
+SPLIT = f"SELECT doc_id, unnest({CHUNKS}) AS c, unnest(range(0, len({CHUNKS}))) AS i, len({CHUNKS}) AS total FROM documents"
+
+
+@query("chunks", f"SELECT doc_id || '_chunk_' || i AS id, doc_id AS parent_id, i AS chunk_index, total AS chunk_total, md5(c) AS chunk FROM ({SPLIT})")
 def chunks(spark, sf_dir):
-    """All texts in chunks of 500 characters, 50 of them shared, as points of their own."""
-    parts = X.chunks(F.col("text"), 500, 50)
-    rows = docs(spark, sf_dir).select("doc_id", F.size(parts).cast("bigint").alias("chunk_total"), F.posexplode(parts).alias("chunk_index", "c"))
+    """All texts in chunks of 500 characters, 50 of them shared, each with its number."""
+    text = F.col("text")
+    cut = retrieval.spread(docs(spark, sf_dir)).select("doc_id", X.n_chunks(text).cast("bigint").alias("chunk_total"), X.chunks(text).alias("parts"))
+    rows = cut.select("doc_id", "chunk_total", F.posexplode("parts").alias("chunk_index", "c"))
     return rows.select(F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("id"), F.col("doc_id").alias("parent_id"), F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_total", F.md5("c").alias("chunk"))
 
 
+@query("chunk_points", f"SELECT CASE WHEN total > 1 THEN doc_id || '_chunk_' || i ELSE doc_id::VARCHAR END AS id, CASE WHEN total > 1 THEN doc_id::VARCHAR END AS parent_id, CASE WHEN total > 1 THEN i::INTEGER END AS chunk_index, CASE WHEN total > 1 THEN total::INTEGER END AS chunk_total, md5(c) AS chunk, lang FROM (SELECT * FROM ({SPLIT}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id))")
+def chunk_points(spark, sf_dir):
+    """All texts as points of their chunks; a text of one chunk stays the point that it was."""
+    found = retrieval.chunk_points(docs(spark, sf_dir).select("doc_id", "text", "lang"), id_col="doc_id")
+    return found.withColumn("chunk", F.md5("chunk"))
+
+
+@query("index_replaced", f"SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest({terms_sql('CASE WHEN doc_id % 3 = 0 THEN lang || source ELSE text END')}) AS term FROM documents WHERE doc_id % 5 <> 0) GROUP BY id, term")
+def index_replaced(spark, sf_dir):
+    """The index after some documents were replaced by others, and some removed."""
+    df = docs(spark, sf_dir)
+    new = df.filter("doc_id % 3 = 0").select("doc_id", F.concat("lang", "source").alias("text"))
+    index = retrieval.replace_documents(retrieval.postings(df, "doc_id"), new, "doc_id")
+    return retrieval.without_documents(index, df.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("id")))
+
+
 @query("payload_text", "SELECT doc_id, lang || ' ' || source AS joined, 'In ' || lang || ' from ' || source || ': ' || n_chars AS filled FROM documents")
 def payload_text(spark, sf_dir):
     """Text to embed from fields, joined or in a template; an unknown placeholder vanishes."""

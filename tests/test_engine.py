@@ -72,17 +72,73 @@ def test_batch_is_single_search(spark):
     rows = [(i, rng.normal(size=8).tolist()) for i in range(200)] + [(500, [0.0] * 8), (501, None)]
     df = spark.createDataFrame(rows, "id bigint, vector array<float>")
     queries = df.filter("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    for metric in ("cosine", "euclidean", "dot_product"):
-        got = search.nearest_batch(df, queries, 7, metric).collect()
-        for q in range(5):
-            want = [r.id for r in search.nearest(df.filter("vector IS NOT NULL"), rows[q][1], 7, metric).collect()]
-            assert [r.id for r in sorted((g for g in got if g.query_id == q), key=lambda r: r.rank)] == want
-    old, search.BROADCAST_BYTES = search.BROADCAST_BYTES, 1
+    one = " UNION ALL ".join(f"SELECT {q} AS query_id" for q in range(5))
+    pairs = spark.sql(one).join(df.withColumnRenamed("id", "query_id").withColumnRenamed("vector", "q"), "query_id").crossJoin(df.filter("vector IS NOT NULL"))
+    old = search.BROADCAST_BYTES
     try:
-        assert {(r.query_id, r.id) for r in search.nearest_batch(df, queries, 7, "dot_product").collect()} == {(r.query_id, r.id) for r in got}
+        for metric in V.METRICS:
+            scored = pairs.select("query_id", "id", V.score(metric, F.col("vector"), F.col("q")).alias("score")).collect()
+            want = {(q, i + 1): r.id for q in range(5) for i, r in enumerate(sorted((r for r in scored if r.query_id == q), key=lambda r: (-r.score, r.id))[:7])}
+            for search.BROADCAST_BYTES in (old, 5000):
+                got = search.nearest_batch(df, queries, 7, metric).collect()
+                assert {(r.query_id, r.rank): r.id for r in got} == want, metric
     finally:
         search.BROADCAST_BYTES = old
     assert search.nearest_batch(df, queries.limit(0)).count() == 0
+    assert search.nearest_batch(df, queries, 7, "no such").collect() == search.nearest_batch(df, queries, 7, "cosine").collect()
+
+
+def test_batch_of_unequal_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 5.0]), (4, []), (5, None)], "id bigint, vector array<double>")
+    queries = df.filter("id IN (1, 3)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    for metric in V.METRICS:
+        got = {(r.query_id, r.id): r.score for r in search.nearest_batch(df, queries, 9, metric).collect()}
+        want = {(q, r.id): r.score for q, v in ((1, [1.0, 0.0]), (3, [1.0, 0.0, 5.0])) for r in search.nearest(df.filter("id < 5"), v, 9, metric).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-9) for x in want), metric
+
+
+def pushed(df):
+    import re
+
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
+    return re.search(r"PushedFilters: \[(.*?)\], ReadSchema", plan)[1]
+
+
+@pytest.mark.parametrize(("condition", "want"), [
+    (("label", "eq", 3), "EqualTo(label,3)"), (("label", "eq", 3.0), "EqualTo(label,3)"), (("label", "in", [1, 3]), "In(label, [1,3])"), (("label", "gte", 3), "GreaterThanOrEqual(label,3)"), (("label", "gt", 2.5), "GreaterThan(label,2)"),
+    (("label", "range", (1, 3)), "LessThanOrEqual(label,3)"), (("lang", "eq", "en"), "GreaterThanOrEqual(lang,EN)"), (("lang", "in", ["en", "fr"]), "LessThanOrEqual(lang,fr)"), (("score", "lt", 0.5), "LessThan(score,0.5)"), (("label", "is_not_null",), "IsNotNull(label)"),
+])
+def test_filters_reach_the_scan(spark, tmp_path, condition, want):
+    rows = [(i, i % 5 if i % 7 else None, ["en", "EN", "fr", "eN", "ko", "Ko", "\u212ao", None][i % 8], i / 50) for i in range(60)]
+    table = spark.createDataFrame(rows, "id bigint, label int, lang string, score double")
+    table.write.mode("overwrite").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    tree = P.Condition(*condition)
+    found = df.filter(P.compile_filter(df, tree))
+    assert want in pushed(found)
+    assert want in pushed(df.filter(P.compile_filter(df, P.all_of(tree, P.Condition("id", "gte", 1)))))
+    total = df.select("id", P.compile_filter(df, tree, total=True).alias("t")).collect()
+    assert {r.id for r in found.collect()} == {r.id for r in total if r.t} and all(r.t is not None for r in total)
+    inverse = {r.id for r in df.filter(P.compile_filter(df, P.none_of(tree))).collect()}
+    assert inverse == {r.id for r in total if not r.t}
+    if condition[0] == "lang":
+        names = [condition[2]] if isinstance(condition[2], str) else condition[2]
+        assert {r.id for r in total if r.t} == {r[0] for r in rows if (r[2] or "").lower() in names}
+
+
+def test_numbers_are_compared_exactly(spark):
+    big = 1 << 53
+    df = spark.createDataFrame([(big,), (big + 1,), (None,)], "n bigint")
+
+    def count(op, value):
+        return df.filter(P.compile_filter(df, P.Condition("n", op, value))).count()
+
+    assert count("eq", big + 1) == 1 and count("gt", big) == 1 and count("lte", big + 0.0) == 1 and count("eq", 0.5) == 0
+    assert count("lt", 1e30) == 2 and count("gt", 1e30) == 0 and count("gt", float("-inf")) == 2 and count("in", [big, 0.5]) == 1
+    texts = spark.createDataFrame([("Ko",), ("\u212ao",), ("kp",), (None,)], "t string")
+    assert texts.filter(P.compile_filter(texts, P.Condition("t", "eq", "KO"))).count() == 2
 
 
 def test_discovery(spark):
