@@ -1,22 +1,33 @@
-"""Partitioned search: points in cells of a trained quantizer, of which a query reads the nearest.
+"""Partitioned search: points in cells of a trained quantizer, or leaves of a tree, of which a query reads the nearest.
 
-Cells are a column by which a table can be written (``partitionBy("cell")``), so a search prunes the other folders.
+Cells and leaves are columns by which a table is written (``write_cells``), so a search prunes the other folders. Every
+row is indexed; training reads a bounded sample, those whose ids hash lowest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from nearfield.functions import vectors as V
+from nearfield.operators import quantize as Z
 from nearfield.operators.search import BLOCK, _best, _block_scores, check_query, nearest
 
 
+#: Rows that quantizers and trees are trained on, at most.
+SAMPLE = 100_000
+
+
+def sample(df: DataFrame, most: int = SAMPLE, id_col: str = "id") -> DataFrame:
+    """At most ``most`` rows, those whose ids hash lowest (ties by id): the same in every run, and all of a smaller table."""
+    return df.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(most)
+
+
 def train_cells(df: DataFrame, cells: int, vector_col: str = "vector", seed: int = 42, iterations: int = 20) -> list[list[float]]:
     """Centroids by k-means."""
     from pyspark.ml.clustering import KMeans
@@ -26,20 +37,46 @@ def train_cells(df: DataFrame, cells: int, vector_col: str = "vector", seed: int
     return sorted(c.tolist() for c in model.clusterCenters())
 
 
+def _nearest_cells(df: DataFrame, centroids: Sequence[Sequence[float]], copies: int, vector_col: str) -> DataFrame:
+    """With ``cells``: the ``copies`` nearest centroids, nearest first, the lower of equals; null for a null vector.
+
+    Distances are products of blocks in Arrow batches, so thousands of cells are a matrix and not a plan of literals.
+    """
+    centres = np.asarray(centroids, float)
+    copies = min(copies, len(centres))
+    halves = (centres**2).sum(1) / 2
+
+    @F.arrow_udf("array<int>")
+    def cells(column: pa.Array) -> pa.Array:
+        matrix = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, centres.shape[1])
+        out = np.empty((len(matrix), copies), np.int32)
+        for lo in range(0, len(matrix), BLOCK):
+            gaps = halves - matrix[lo : lo + BLOCK] @ centres.T
+            out[lo : lo + BLOCK] = np.argsort(gaps, axis=1, kind="stable")[:, :copies]
+        ends = np.cumsum(np.r_[0, column.is_valid().to_numpy(zero_copy_only=False).astype(np.int32)]) * copies
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out.ravel()), mask=column.is_null())
+
+    return df.withColumn("cells", cells(F.col(vector_col)))
+
+
 def with_cell(df: DataFrame, centroids: Sequence[Sequence[float]], vector_col: str = "vector") -> DataFrame:
-    """With ``cell``: the nearest centroid, the lowest of equals."""
-    distances = F.array(*[V.squared_euclidean(F.col(vector_col), V.literal(c)) for c in centroids])
-    return df.withColumn("distances_", distances).withColumn("cell", (F.array_position("distances_", F.array_min("distances_")) - 1).cast("int")).drop("distances_")
+    """With ``cell``: the nearest centroid, the lowest of equals; null for a null vector."""
+    return _nearest_cells(df, centroids, 1, vector_col).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
 
 
 def with_cells(df: DataFrame, centroids: Sequence[Sequence[float]], copies: int = 2, vector_col: str = "vector") -> DataFrame:
     """A row for each of a point's ``copies`` nearest cells: ``cell``, and ``cells`` with all of them, nearest first.
 
     A neighbour across a cell's border is found in its second cell, so fewer cells need be read for the same recall.
+    Points without a vector are in no cell.
     """
-    gaps = F.array(*[F.struct(V.squared_euclidean(F.col(vector_col), V.literal(c)).alias("gap"), F.lit(i).alias("cell")) for i, c in enumerate(centroids)])
-    nearest_cells = F.transform(F.slice(F.array_sort(gaps), 1, copies), lambda x: x["cell"])
-    return df.withColumn("cells", nearest_cells).withColumn("cell", F.explode("cells"))
+    return _nearest_cells(df, centroids, copies, vector_col).withColumn("cell", F.explode("cells"))
+
+
+def write_cells(df: DataFrame, path: str, by: str = "cell") -> DataFrame:
+    """Write a table with a folder for each cell and read it back; of a hot cell several tasks write files."""
+    df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def probes(query: Sequence[float], centroids: Sequence[Sequence[float]], n: int) -> list[int]:
@@ -89,16 +126,109 @@ def cell_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("cell").agg(F.count(F.lit(1)).alias("points"))
 
 
-def median_tree(df: DataFrame, depth: int, vector_col: str = "vector", dims: int | None = None) -> list[tuple[int, float]]:
-    """Splits (dimension, median) level by level: each level halves all points at the median of the dimension of highest variance not used yet."""
-    dims = dims or df.select(F.size(vector_col)).first()[0]
-    values = df.select(*[F.get(vector_col, i).cast("double").alias(f"d{i}") for i in range(dims)])
-    variances = values.agg(*[F.var_pop(f"d{i}").alias(f"d{i}") for i in range(dims)]).first()
-    order = sorted(range(dims), key=lambda i: (-variances[i], i))[:depth]
-    medians = values.agg(*[F.percentile(f"d{i}", F.lit(0.5)).alias(f"m{i}") for i in order]).first()
-    return [(i, float(medians[f"m{i}"])) for i in order]
+@dataclass(frozen=True)
+class MedianTree:
+    """A binary tree: inner node i splits at ``cuts[i]`` of dimension ``dims[i]`` into nodes 2i+1 (up to it) and 2i+2; -1 ends a branch."""
+
+    dims: np.ndarray
+    cuts: np.ndarray
 
+    def leaves(self, matrix: np.ndarray) -> np.ndarray:
+        """The number of each row's last node."""
+        at = np.zeros(len(matrix), np.int64)
+        while True:
+            known = np.minimum(at, len(self.dims) - 1)
+            inner = np.flatnonzero((at < len(self.dims)) & (self.dims[known] >= 0))
+            if not len(inner):
+                return at
+            node = at[inner]
+            at[inner] = 2 * node + 1 + (matrix[inner, self.dims[node]] > self.cuts[node])
 
-def tree_leaf(vector, splits: Sequence[tuple[int, float]]):
-    """Number of the leaf, a bit for each split."""
-    return sum(((F.get(vector, i).cast("double") > m).cast("int") * (1 << b) for b, (i, m) in enumerate(splits)), F.lit(0))
+
+def build_tree(matrix: np.ndarray, depth: int, least: int = 2) -> MedianTree:
+    """Each node splits its own rows at the median of their dimension of highest variance (the first of equals).
+
+    A node of fewer than ``least`` rows, or of equal ones, isn't split.
+    """
+    n = (1 << depth) - 1
+    dims, cuts = np.full(n, -1, np.int64), np.zeros(n)
+    rows = {0: np.arange(len(matrix))}
+    for node in range(n):
+        own = rows.pop(node, None)
+        if own is None or len(own) < least:
+            continue
+        part = matrix[own]
+        spread = part.var(axis=0)
+        dim = int(spread.argmax())
+        cut = float(np.median(part[:, dim]))
+        above = part[:, dim] > cut
+        if spread[dim] == 0 or not above.any():
+            continue
+        dims[node], cuts[node] = dim, cut
+        rows[2 * node + 1], rows[2 * node + 2] = own[~above], own[above]
+    return MedianTree(dims, cuts)
+
+
+def _matrix(df: DataFrame, vector_col: str) -> np.ndarray:
+    column = df.select(F.col(vector_col).cast("array<double>").alias("v")).filter("v IS NOT NULL").toArrow()["v"].combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def median_tree(df: DataFrame, depth: int, vector_col: str = "vector", id_col: str = "id", most: int = SAMPLE) -> MedianTree:
+    """``build_tree`` of a bounded sample, of all rows of a table that isn't larger."""
+    return build_tree(_matrix(sample(df, most, id_col), vector_col), depth)
+
+
+def tree_leaf(vector: Column, tree: MedianTree) -> Column:
+    """The number of the leaf that a vector falls into; null for null."""
+
+    @F.arrow_udf("int")
+    def leaf(column: pa.Array) -> pa.Array:
+        own = column.drop_null()
+        found = np.zeros(len(column), np.int32)
+        if len(own):
+            found[column.is_valid().to_numpy(zero_copy_only=False)] = tree.leaves(own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1))
+        return pa.array(found, mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return leaf(vector)
+
+
+@dataclass(frozen=True)
+class LeafIndex:
+    """A tree, its leaves' centroids and the codebooks of the points' codes."""
+
+    tree: MedianTree
+    leaves: tuple[int, ...]
+    centres: np.ndarray
+    books: list[list[list[float]]]
+
+    def nearest(self, query: Sequence[float], n: int) -> list[int]:
+        """The n leaves of the nearest centroids."""
+        gaps = ((self.centres - np.asarray(query, float)) ** 2).sum(1)
+        return [self.leaves[i] for i in np.lexsort((np.arange(len(gaps)), gaps))[:n]]
+
+
+def train_leaves(df: DataFrame, depth: int = 6, segments: int = 8, codes: int = 256, vector_col: str = "vector", id_col: str = "id", most: int = SAMPLE) -> LeafIndex:
+    """Tree, centroids and codebooks from a bounded sample."""
+    some = sample(df.filter(F.col(vector_col).isNotNull()), most, id_col)
+    matrix = _matrix(some, vector_col)
+    tree = build_tree(matrix, depth)
+    leaf = tree.leaves(matrix)
+    known = np.unique(leaf)
+    centres = np.stack([matrix[leaf == x].mean(0) for x in known])
+    return LeafIndex(tree, tuple(map(int, known)), centres, Z.train_product(some, segments, min(codes, len(matrix)), matrix.shape[1], vector_col=vector_col))
+
+
+def with_leaves(df: DataFrame, index: LeafIndex, vector_col: str = "vector") -> DataFrame:
+    """Every point with its ``leaf`` and ``codes``, to be written by leaf."""
+    return df.withColumn("leaf", tree_leaf(F.col(vector_col), index.tree)).withColumn("codes", Z.encode_product(F.col(vector_col), index.books))
+
+
+def leaf_search(df: DataFrame, query: Sequence[float], index: LeafIndex, k: int = 10, share: float = 0.1, rerank: int = 100, metric: str = "euclidean", where: Column | None = None, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """The k best in three steps: the nearest ``share`` of the leaves (one at least) are read, their points ranked by codes, and the ``rerank`` best of these scored exactly."""
+    check_query(query)
+    chosen = index.nearest(query, max(1, round(share * len(index.leaves))))
+    rows = df.filter(F.col("leaf").isin(chosen))
+    rows = rows if where is None else rows.filter(where)
+    first = rows.withColumn("approximate", Z.product_distance(list(query), F.col("codes"), index.books)).orderBy("approximate", id_col).limit(max(k, rerank))
+    return nearest(first, list(query), k, metric, None, id_col, vector_col)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
-from nearfield.operators import fusion, retrieval, search
+from nearfield.operators import fusion, hybrid, retrieval, search
 from nearfield.plans.registry import query
 from nearfield.plans.search_queries import COS, asked, points, rounded
 
@@ -148,6 +148,18 @@ def text_hits(spark, sf_dir, k: int):
     return retrieval.bm25(docs(spark, sf_dir), QUERY, k, "doc_id")
 
 
+def dense_leg(spark, sf_dir, weight: float = 1.0):
+    return hybrid.Leg("dense", asked(points(spark, sf_dir)), F.col("asked"), weight)
+
+
+def sparse_leg(spark, sf_dir, weight: float = 1.0):
+    return hybrid.Leg("sparse", retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id", only=ASK), ASK, weight)
+
+
+def text_leg(spark, sf_dir, weight: float = 1.0):
+    return hybrid.Leg("text", docs(spark, sf_dir), QUERY, weight, id_col="doc_id")
+
+
 def lists_sql(k: int) -> str:
     return f"""{BM25},
 qv AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
@@ -189,15 +201,14 @@ def convex_fusion(spark, sf_dir):
 @query("hybrid_search", f"WITH {lists_sql(45)} {FUSED.format('SELECT id, sum(1 / (60.0 + r)) AS score FROM (SELECT id, r FROM dense UNION ALL SELECT id, r FROM txt) GROUP BY id', 10, 5)}")
 def hybrid_search(spark, sf_dir):
     """Vector and text legs of three times the limit and offset, fused, then a page."""
-    k = 3 * (10 + 5)
-    return fusion.reciprocal_rank([dense_hits(spark, sf_dir, k), text_hits(spark, sf_dir, k)], 10, offset=5).select("id", rounded())
+    return hybrid.hybrid_search(dense_leg(spark, sf_dir), text_leg(spark, sf_dir), 10, 5).select("id", rounded())
 
 
 @query("multi_model_fusion", f"WITH {lists_sql(20)} {FUSED.format('SELECT id, sum(w / (60.0 + r - 1)) AS score FROM (SELECT id, r, 2.0 AS w FROM dense UNION ALL SELECT id, r, 1.0 FROM sparse UNION ALL SELECT id, r, 0.5 FROM txt) GROUP BY id', 10, 0)}")
 def multi_model_fusion(spark, sf_dir):
     """Three lists with weights, ranks from 0; the weight of the second, 0, counts as 1."""
-    lists = [dense_hits(spark, sf_dir, 20), sparse_hits(spark, sf_dir, 20), text_hits(spark, sf_dir, 20)]
-    return fusion.reciprocal_rank(lists, 10, [2.0, 0.0, 0.5], first_rank=0).select("id", rounded())
+    legs = [dense_leg(spark, sf_dir, 2.0), sparse_leg(spark, sf_dir, 0.0), text_leg(spark, sf_dir, 0.5)]
+    return hybrid.multi_search(legs, 10, 20, first_rank=0).select("id", rounded())
 
 
 @query(
@@ -212,10 +223,16 @@ sparse AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM (SEL
 def dense_sparse_filtered(spark, sf_dir):
     """One filter for both legs."""
     df = points(spark, sf_dir)
-    dense = search.nearest(asked(df), F.col("asked"), 10, where=F.col("label") <= 4).select("id", "score")
-    index = retrieval.hashed_terms(docs(spark, sf_dir), 4096, "doc_id")
-    sparse = retrieval.sparse_search(index, ASK, 10, df.filter("label <= 4").select("id"))
-    return fusion.reciprocal_rank([dense, sparse]).select("id", rounded())
+    legs = [hybrid.Leg("dense", asked(df), F.col("asked"), where=F.col("label") <= 4), hybrid.Leg("sparse", sparse_leg(spark, sf_dir).table, ASK, where=df.filter("label <= 4").select("id"))]
+    return hybrid.multi_search(legs, 10, 10).select("id", rounded())
+
+
+@query("hits_with_fields", f"WITH {lists_sql(30)}, top AS ({FUSED.format('SELECT id, sum(1 / (60.0 + r)) AS score FROM (SELECT id, r FROM dense UNION ALL SELECT id, r FROM txt) GROUP BY id', 10, 0)}) SELECT id, score, label, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM top JOIN embeddings ON id = vec_id")
+def hits_with_fields(spark, sf_dir):
+    """A hybrid page with payload and vectors of the points that have them."""
+    hits = hybrid.hybrid_search(dense_leg(spark, sf_dir), text_leg(spark, sf_dir))
+    found = hybrid.with_fields(hits, points(spark, sf_dir), with_vector=True)
+    return found.select("id", rounded(), "label", F.round(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
 @query("diverse_hits")
@@ -263,7 +280,19 @@ def payload_text(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", X.join_fields(F.col("lang"), F.col("source")).alias("joined"), X.fill_template("In {lang} from {source}: {n_chars} {other}", fields).alias("filled"))
 
 
-@query("text_search")
+def embedded_sql(table: str, keys: str, dims: int) -> str:
+    """(keys, d, x): the hashed counts of words, those of the upper half of the slots being negative."""
+    return f"(SELECT {keys}, slot % {dims} AS d, sum(CASE WHEN slot < {dims} THEN 1 ELSE -1 END)::DOUBLE AS x FROM (SELECT {keys}, ('0x' || substr(md5(w), 1, 8))::BIGINT % {2 * dims} AS slot FROM (SELECT {keys}, unnest({terms_sql('text')}) AS w FROM {table})) GROUP BY {keys}, d)"
+
+
+@query(
+    "text_search",
+    f"""
+WITH v AS {embedded_sql("documents", "doc_id", 64)}, q AS {embedded_sql(f"(SELECT 1 AS one, '{QUERY}' AS text)", "one", 64)},
+n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY doc_id), s AS (SELECT doc_id, sum(v.x * q.x) AS dot FROM v JOIN q USING (d) GROUP BY doc_id)
+SELECT doc_id AS id, round(score, 6) AS score FROM (SELECT doc_id, CASE WHEN norm > 0 THEN coalesce(dot, 0) / (norm * (SELECT sqrt(sum(x * x)) FROM q)) ELSE 0 END AS score FROM n LEFT JOIN s USING (doc_id)) ORDER BY round(score, 9) DESC, id LIMIT 10
+""",
+)
 def text_search(spark, sf_dir):
     """Search by text: the query and all documents embedded by hashing their words."""
     df = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), X.hashed_embedding(F.col("text")).alias("vector"))
@@ -271,7 +300,7 @@ def text_search(spark, sf_dir):
     return search.nearest(df.crossJoin(F.broadcast(one)), F.col("asked"), 10).select("id", rounded())
 
 
-@query("auto_embed")
+@query("auto_embed", f"SELECT conv_id, turn, CASE WHEN coalesce(size, 0) > 0 THEN 1.0::DOUBLE ELSE 0 END AS norm, 32 AS dims FROM conversations LEFT JOIN (SELECT conv_id, turn, sum(x * x) AS size FROM {embedded_sql('conversations', 'conv_id, turn', 32)} GROUP BY conv_id, turn) USING (conv_id, turn)")
 def auto_embed(spark, sf_dir):
     """Vectors for the conversations' texts; a text of no words gives the zero vector."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")

@@ -42,13 +42,24 @@ def subscribed(events: DataFrame, kinds: Sequence[str] = (), collection: str = "
 
 
 def upsert_into(path: str, version: str, id_col: str = "id") -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a folder of versioned snapshots: each batch writes ``v=<number>`` and the last one counts."""
+    """A batch function that merges into a folder of versioned snapshots: each batch writes ``v=<number>`` and the last one counts.
+
+    The row of the highest version stays; of equal versions that of the later batch, and within a batch the one whose
+    columns hash lowest. Snapshots before the last but one are deleted: a batch that is tried again needs no others.
+    """
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         before = latest(spark, path, number)
-        state = batch if before is None else before.unionByName(batch)
-        last = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(version).desc_nulls_last()))
-        state.withColumn("last_", last).filter("last_ = 1").drop("last_").write.mode("overwrite").parquet(f"{path}/v={number:09d}")
+        new = batch.withColumn("new_", F.lit(1))
+        state = new if before is None else before.withColumn("new_", F.lit(0)).unionByName(new)
+        plain = [c for c, kind in batch.dtypes if not kind.startswith(("map", "variant"))]
+        last = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(version).desc_nulls_last(), F.col("new_").desc(), F.xxhash64(*plain)))
+        state.withColumn("last_", last).filter("last_ = 1").drop("last_", "new_").write.mode("overwrite").parquet(f"{path}/v={number:09d}")
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("v="))[:-2]:
+            if int(name[2:]) < number - 1:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"), True)
 
     return each
 
@@ -100,8 +111,9 @@ def token_bucket(events: DataFrame, capacity: float, per_second: float, key: str
 
 def webhooks(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """Each event beside the hooks (hook, types array, collection or null) that list its type."""
-    joined = events.join(hooks.withColumnRenamed("collection", "of"), F.array_contains("types", F.col("type")))
-    return joined.filter(F.col("of").isNull() | (F.col("of") == F.col("collection"))).drop("types", "of")
+    by_type = hooks.select(*[F.col(c).alias("of") if c == "collection" else F.col(c) for c in hooks.columns if c != "types"], F.explode(F.array_distinct("types")).alias("of_type"))
+    joined = events.join(by_type, F.col("of_type") == F.col("type"))
+    return joined.filter(F.col("of").isNull() | (F.col("of") == F.col("collection"))).drop("of_type", "of")
 
 
 def signature(body: Column, secret: str) -> Column:

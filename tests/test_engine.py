@@ -1,7 +1,9 @@
 """Small fixtures with results worked out by hand, odd rows, and properties."""
 
+import glob
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import geo as G
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
-from nearfield.operators import ann, facets, fusion, ingest, retrieval, search
+from nearfield.operators import ann, facets, fusion, hybrid, ingest, retrieval, search, visual
 from nearfield.operators import filters as P
 from nearfield.operators import quantize as Z
 from nearfield.plans import catalog as M
@@ -98,8 +100,6 @@ def test_batch_of_unequal_lengths(spark):
 
 
 def pushed(df):
-    import re
-
     df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = df._jdf.queryExecution().executedPlan().toString()
     df.sparkSession.conf.unset("spark.sql.maxMetadataStringLength")
@@ -354,6 +354,105 @@ def test_recall_of_approximate_searches(spark, sf):
     assert np.mean([np.isin(n, f).mean() for n, f in zip(nearest, first)]) >= 0.9
 
 
+def test_written_cells_are_pruned(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)] + [(900, None)], "id bigint, vector array<float>")
+    centroids = ann.train_cells(df.filter("vector IS NOT NULL"), 6)
+    x = {r.id: np.array(r.vector) for r in df.collect() if r.vector}
+    assert {r.id: r.cell for r in ann.with_cell(df, centroids).collect()} == {**{i: int(((np.array(centroids) - v) ** 2).sum(1).argmin()) for i, v in x.items()}, 900: None}
+    written = ann.write_cells(ann.with_cells(df, centroids), str(tmp_path / "cells"))
+    assert written.count() == 600
+    found = ann.cell_search(written, [1, 0, 0, 0], centroids, n_probe=2)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    assert re.search(r"PartitionFilters: \[[^\]]*cell#\d+ IN \(", found._jdf.queryExecution().executedPlan().toString())
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert len(found.collect()) == 10
+    assert [r.id for r in ann.cell_search(written, [1, 0, 0, 0], centroids, n_probe=6).collect()] == [r.id for r in search.nearest(df.filter("vector IS NOT NULL"), [1, 0, 0, 0]).collect()]
+
+
+def brute_leaf(rows, v, depth):
+    """Descends by splitting the rows themselves."""
+    at = 0
+    for _ in range(depth):
+        if len(rows) < 2:
+            break
+        dim = int(rows.var(0).argmax())
+        cut = np.median(rows[:, dim])
+        if not (rows[:, dim] > cut).any():
+            break
+        above = v[dim] > cut
+        at, rows = 2 * at + 1 + int(above), rows[(rows[:, dim] > cut) == above]
+    return at
+
+
+def test_tree_is_one_of_medians(spark):
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(200, 3)) * [1, 3, 2], np.ones((9, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id bigint, vector array<double>")
+    tree = ann.median_tree(df, 5)
+    got = {r.id: r.leaf for r in df.select("id", ann.tree_leaf(F.col("vector"), tree).alias("leaf")).collect()}
+    assert got == {**{i: brute_leaf(x, v, 5) for i, v in enumerate(x)}, 999: None} and len(set(got.values())) > 20
+    assert (ann.build_tree(np.ones((5, 2)), 3).leaves(np.ones((2, 2))) == 0).all() and ann.sample(df, 7).count() == 7
+
+
+def test_leaf_search(spark):
+    """All leaves and enough candidates are exact; the query's own settings find nine of ten, every 20th point a query."""
+    df, index = engine_queries.leaves_of(spark, "/root/testdata/sf0.01")
+    plain = points(spark, "/root/testdata/sf0.01")
+    rows = [r for r in plain.filter("id % 20 = 0").orderBy("id").collect()]
+    exact = {q.id: [r.id for r in sorted(plain.collect(), key=lambda r: (sum((a - b) ** 2 for a, b in zip(r.vector, q.vector)), r.id))[:10]] for q in rows[:8]}
+    assert [r.id for r in ann.leaf_search(df, rows[1].vector, index, 10, 1.0, 10_000).collect()] == exact[rows[1].id]
+    found = {q.id: {r.id for r in ann.leaf_search(df, q.vector, index, 10, engine_queries.LEAF_SHARE, 300).collect()} for q in rows[:8]}
+    assert np.mean([len(found[i] & set(exact[i])) / 10 for i in exact]) >= 0.9
+
+
+def test_hybrid_search(spark):
+    docs = spark.createDataFrame([(1, "quick brown fox", [1.0, 0.0], "x"), (2, "quick dog", [0.9, 0.1], "y"), (3, "lazy cat", [0.0, 1.0], "x"), (4, None, [0.8, 0.0], "z")], "id bigint, text string, vector array<double>, tag string")
+    dense, text = hybrid.Leg("dense", docs, [1.0, 0.0]), hybrid.Leg("text", docs, "quick brown")
+    assert [r.id for r in hybrid.hybrid_search(dense, text, 2).collect()] == [1, 2]
+    first, second = (hybrid.hybrid_search(dense, text, 2, at).collect() for at in (0, 2))
+    assert not {r.id for r in first} & {r.id for r in second} and {r.id for r in first + second} == {1, 2, 3, 4}
+    for method in ("rrf", "weighted", "unit"):
+        assert hybrid.hybrid_search(dense, text, 1, method=method).first().id == 1
+    only = hybrid.Leg("dense", docs, [1.0, 0.0], where=F.col("tag") != "x")
+    sparse = hybrid.Leg("sparse", spark.createDataFrame([(2, 7, 1.0), (3, 7, 5.0)], "id bigint, dim bigint, weight double"), {7: 1.0}, 2.0)
+    assert [r.id for r in hybrid.multi_search([only, sparse], 3).collect()] == [2, 3, 4]
+    for bad in (lambda: hybrid.run_leg(hybrid.Leg("no", docs, 1), 1), lambda: hybrid.multi_search([]), lambda: hybrid.hybrid_search(dense, text, method="no")):
+        with pytest.raises(search.SearchError):
+            bad()
+    hits = hybrid.hybrid_search(dense, text, 2)
+    assert hybrid.with_fields(hits, docs, False, False).columns == ["id", "score"]
+    assert hybrid.with_fields(hits, docs).columns == ["id", "score", "text", "tag"] and hybrid.with_fields(hits, docs, True, False).columns == ["id", "score", "vector"]
+    assert [r.id for r in hybrid.with_fields(hits, docs, True).collect()] == [1, 2]
+
+
+def test_maps_keep_groups_apart(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(size=(25, 10)) + 8 * np.eye(10)[g] for g in range(3)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    at = np.array([r.at for r in visual.tsne_map(df, steps=300, perplexity=10.0).orderBy("id").collect()])
+    centres = at.reshape(3, 25, 2).mean(1)
+    inside = np.linalg.norm(at.reshape(3, 25, 2) - centres[:, None], axis=2).mean()
+    assert inside * 2 < min(np.linalg.norm(centres[i] - centres[j]) for i in range(3) for j in range(i))
+    with pytest.raises(ValueError):
+        visual.tsne_map(df, most=10)
+    flat = visual.principal_components(df, 3).collect()
+    assert all(len(r.at) == 3 and all(0 <= v <= 1 for v in r.at) for r in flat)
+    assert visual.tsne(x[:2]).shape == (2, 2)
+
+
+def test_chunk_points_of_odd_rows(spark):
+    long = "é" * 999 + " " + "x" * 400
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "short ", "c"), (4, long, "d")], "id bigint, text string, tag string")
+    got = sorted((tuple(r) for r in retrieval.chunk_points(df).collect()), key=str)
+    pieces = [long[i : i + 500].strip(" ") for i in range(0, 1400 - 50, 450)]
+    assert got == sorted([("1", None, None, None, None, "a"), ("2", None, None, None, "", "b"), ("3", None, None, None, "short", "c"), *[(f"4_chunk_{i}", "4", i, 3, p, "d") for i, p in enumerate(pieces)]], key=str)
+    for size, overlap in ((10, 0), (10, 9), (7, 3), (5, 5), (500, 50), (1, 0)):
+        step = size - (overlap if overlap < size else size // 4)
+        n = max(0, math.ceil((len(long) - size) / step)) + 1
+        assert df.filter("id = 4").select(X.chunks(F.col("text"), size, overlap)).first()[0] == [long[i * step : i * step + size].strip(" ") for i in range(n)]
+
+
 def test_recall_report_covers_every_point(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.query_id: r.recall for r in engine_queries.recall_of_cells(spark, sf).collect()}
@@ -379,6 +478,11 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, "id bigint, version bigint").coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
     feed.drain(feed.stream(spark, f"{tmp_path}/in", 1).select("id", "version"), feed.upsert_into(f"file://{tmp_path}/state", "version"), f"{tmp_path}/check")
     assert {tuple(r) for r in feed.latest(spark, f"file://{tmp_path}/state").collect()} == {(1, 1), (2, 3), (3, 1)}
+    assert len(glob.glob(f"{tmp_path}/state/v=*")) == 2
+    put = feed.upsert_into(f"file://{tmp_path}/ties", "version")
+    for number, value in enumerate("abc"):
+        put(spark.createDataFrame([(1, 5, value), (2, number, value)], "id bigint, version bigint, x string"), number)
+    assert {tuple(r) for r in feed.latest(spark, f"file://{tmp_path}/ties").collect()} == {(1, 5, "c"), (2, 2, "c")}
     assert [feed.backoff(i) for i in (0, 1, 5, 6, 50)] == [1, 2, 32, 60, 60]
 
 
