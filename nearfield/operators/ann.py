@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from nearfield.functions import vectors as V
 from nearfield.operators import quantize as Z
-from nearfield.operators.search import BLOCK, _best, _block_scores, check_query, nearest
+from nearfield.operators import search
+from nearfield.operators.search import BLOCK, check_query, nearest
 
 
 #: Rows that quantizers and trees are trained on, at most.
@@ -99,24 +101,31 @@ def cell_search(df: DataFrame, query: Sequence[float], centroids: Sequence[Seque
 
 
 def cell_search_batch(df: DataFrame, queries: DataFrame, centroids: Sequence[Sequence[float]], k: int = 10, n_probe: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, score, rank): ``cell_search`` for every query in one pass, a cell with all its queries at a time."""
+    """(query_id, id, score, rank): ``cell_search`` for every query in one pass, a cell with all its queries at a time.
+
+    A cell of more than ``BROADCAST_BYTES`` of points or of queries is cut into parts, and each part of its queries meets
+    each part of its points in a group of its own, so a task's memory doesn't depend on the size of a cell.
+    """
 
     def score(asked: pa.Table, points: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if asked.num_rows and points.num_rows:
-            q_ids, ids = asked["query_id"].to_numpy(), points["id"].to_numpy()
-            q, matrix = (np.array(t[c].to_pylist(), float) for t, c in ((asked, "query_vector"), (points, "vector")))
-            for lo in range(0, len(q_ids), BLOCK):
-                for row, q_id in zip(_block_scores(matrix, q[lo : lo + BLOCK], metric), q_ids[lo : lo + BLOCK], strict=True):
-                    best = _best(row, ids, k)
-                    out.append((np.full(len(best), q_id), ids[best], row[best]))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(("query_id", "id", "score"), columns, strict=True)))
+        return search.best_of_blocks(asked, points, k, metric)
+
+    def parts(df: DataFrame, vector: str, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.sum(F.size(vector) * 8 + 8) / search.BROADCAST_BYTES).alias(name))
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return df.join(F.broadcast(cut), "cell").select(*df.columns, F.pmod(F.xxhash64(key), F.col(own)).alias(own), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias(other))
 
+    metric = metric if metric in V.METRICS else "cosine"
     asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).alias("query_vector")).filter("query_vector IS NOT NULL")
     asked = with_cells(asked, centroids, n_probe, "query_vector").select("cell", "query_id", "query_vector")
     points = df.select("cell", F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector")).filter("id IS NOT NULL AND vector IS NOT NULL")
-    found = asked.groupBy("cell").cogroup(points.groupBy("cell")).applyInArrow(score, "query_id bigint, id bigint, score double")
+    cut = parts(asked, "query_vector", "q_part").join(parts(points, "vector", "p_part"), "cell")
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), search.TASKS * spark.sparkContext.defaultParallelism)
+    keys = ("cell", "q_part", "p_part")
+    left, right = (t.repartition(tasks, *keys) for t in (dealt(asked, "query_id", "q_part", "p_part"), dealt(points, "id", "p_part", "q_part")))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, "query_id bigint, id bigint, score double")
     once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return once.withColumn("rank", rank).filter(F.col("rank") <= k)

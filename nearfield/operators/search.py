@@ -6,20 +6,23 @@ columns reach the scan. A batch of queries is one pass over the points with a Nu
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nearfield.functions import vectors as V
+from nearfield.operators.blocks import Best
 
 #: Bytes of query vectors that may travel to every task; larger batches are joined block by block.
 BROADCAST_BYTES = 32 << 20
+#: Pairs of blocks for each core, at least.
+TASKS = 3
 BLOCK = 1024
 
 
@@ -67,78 +70,14 @@ def within(df: DataFrame, query: Sequence[float] | Column, radius: float, metric
 _UNEQUAL = {"cosine": 0.0, "angular": 1.0 - np.pi / 2, "euclidean": 1.0, "squared_euclidean": 1.0, "dot_product": 1.0, "max_inner_product": 1.0, "manhattan": 1.0 - V.MAX_FLOAT, "chebyshev": 1.0 - V.MAX_FLOAT, "minkowski": 1.0 - V.MAX_FLOAT}
 
 
-def _block_scores(points: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all queries against all points, for any of ``V.METRICS``."""
-    if metric in ("manhattan", "chebyshev", "minkowski"):
-        fold = {
-            "manhattan": lambda d: d.sum(1),
-            "chebyshev": lambda d: d.max(1, initial=0.0),
-            "minkowski": lambda d: (d**3.0).sum(1) ** (1 / 3.0),
-        }[metric]
-        return np.stack([1.0 - fold(np.abs(points - q)) for q in queries]) if len(queries) else np.zeros((0, len(points)))
-    product = queries @ points.T
-    if metric in ("dot_product", "max_inner_product"):
-        return 1.0 + product
-    if metric in ("euclidean", "squared_euclidean"):
-        squared = np.maximum((queries**2).sum(1)[:, None] + (points**2).sum(1)[None] - 2 * product, 0)
-        return 1.0 - (np.sqrt(squared) if metric == "euclidean" else squared)
-    if metric not in ("cosine", "angular"):
-        raise SearchError(f"unknown metric {metric}")
-    scale = np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(points, axis=1)[None]
-    similar = np.divide(product, scale, out=np.zeros_like(product), where=scale > 0)
-    return similar if metric == "cosine" else 1.0 - np.arccos(np.clip(similar, -1, 1))
-
-
-def _matrices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(places, matrix) of the vectors of each length."""
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    out = []
-    for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
-        own = column if len(at) == len(column) else column.take(pa.array(at))
-        out.append((at, own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), int(n))))
-    return out
-
-
-def _block_hits(q_ids: np.ndarray, queries: pa.Array, ids: np.ndarray, points: pa.Array, k: int, metric: str, skip_self: bool) -> Iterator[pa.RecordBatch]:
-    """(query_id, id, score): each query's k best of a block of points."""
-    split = _matrices(points)
-    for places, q in _matrices(queries):
-        for lo in range(0, len(places), BLOCK):
-            own = q_ids[places[lo : lo + BLOCK]]
-            block = np.full((len(own), len(ids)), _UNEQUAL[metric])
-            for at, matrix in split:
-                if matrix.shape[1] == q.shape[1]:
-                    block[:, at] = _block_scores(matrix, q[lo : lo + BLOCK], metric)
-            out_q, out_i, out_s = [], [], []
-            for row, q_id in zip(block, own, strict=True):
-                if skip_self:
-                    row = np.where(ids == q_id, -np.inf, row)
-                best = _best(row, ids, k)
-                best = best[np.isfinite(row[best])]
-                out_q.append(np.full(len(best), q_id))
-                out_i.append(ids[best])
-                out_s.append(row[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_i, out_s)], names=["query_id", "id", "score"])
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties by id."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
-
-
 def nearest_batch(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query_vector", skip_self: bool = False) -> DataFrame:
     """(query_id, id, score, rank) of each query's k best points; ids are bigint. ``skip_self`` leaves out the point of the query's own id.
 
-    Each task scores its points against all queries and passes on the k best of each, so k rows a query and task are
-    shuffled. Queries of up to ``BROADCAST_BYTES`` travel to the tasks; more are cut into blocks, as are the points, and
-    each block of queries meets each block of points in a task of its own. Both ways give the same rows, for any metric;
-    vectors of unequal lengths score as in single searches.
+    Each task keeps the k best of its points for each query and passes them on at its end, so k rows a query and task are
+    shuffled; it scores pairs in tiles (``blocks``), so its memory is the queries and their hits. Queries of up to
+    ``BROADCAST_BYTES`` travel to the tasks; more are cut into blocks of that size at most, as are the points, and each
+    block of queries meets each block of points in a task of its own. Both ways give the same rows, for any metric;
+    vectors of unequal lengths score as in single searches. Vectors that aren't finite have no hits and are none.
     """
     metric = metric if metric in V.METRICS else "cosine"  # as ``V.distance`` has it
     spark = points.sparkSession
@@ -148,33 +87,47 @@ def nearest_batch(points: DataFrame, queries: DataFrame, k: int = 10, metric: st
     size = asked.agg(F.sum(F.size("query_vector") * 8 + 8)).first()[0] or 0
     if not size:
         return spark.createDataFrame([], schema + ", rank int")
+    unequal = _UNEQUAL[metric]
     if size <= BROADCAST_BYTES:
         table = asked.toArrow().combine_chunks()
         shared = spark.sparkContext.broadcast((table["query_id"].to_numpy(), table["query_vector"].chunk(0)))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(*shared.value, k, metric, unequal, skip_self)
             for batch in batches:
-                if batch.num_rows:
-                    yield from _block_hits(*shared.value, batch.column(0).to_numpy(), batch.column(1), k, metric, skip_self)
+                best.add(batch.column(0).to_numpy(), batch.column(1))
+            yield from best.batches()
 
         found = rows.mapInArrow(run, schema)
     else:
         held = rows.agg(F.sum(F.size("vector") * 8 + 8)).first()[0] or 0
-        n_q, n_p = (max(1, -(-n // BROADCAST_BYTES)) for n in (size, held))
+        # As many pairs of blocks as keep all cores busy, though the blocks may then be smaller.
+        least = math.ceil(math.sqrt(TASKS * spark.sparkContext.defaultParallelism))
+        n_q, n_p = (max(least, -(-n // BROADCAST_BYTES)) for n in (size, held))
 
         def meet(asked: pa.Table, points: pa.Table) -> pa.Table:
-            if not asked.num_rows or not points.num_rows:
-                return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-            asked, points = asked.combine_chunks(), points.combine_chunks()
-            return pa.Table.from_batches(_block_hits(asked["query_id"].to_numpy(), asked["query_vector"].chunk(0), points["id"].to_numpy(), points["vector"].chunk(0), k, metric, skip_self))
+            return best_of_blocks(asked, points, k, metric, skip_self)
 
         left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1)).cast("array<bigint>")).alias("p_block"))
         right = rows.select("*", F.pmod(F.xxhash64("id"), F.lit(n_p)).alias("p_block"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")).alias("q_block"))
+        # A number of partitions that is named isn't coalesced, so few tasks have two pairs of blocks.
+        left, right = (t.repartition(2 * n_q * n_p, "q_block", "p_block") for t in (left, right))
         found = left.groupBy("q_block", "p_block").cogroup(right.groupBy("q_block", "p_block")).applyInArrow(meet, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def best_of_blocks(asked: pa.Table, points: pa.Table, k: int, metric: str, skip_self: bool = False) -> pa.Table:
+    """(query_id, id, score): the k best of a block of points (id, vector) for each of a block of queries (query_id, query_vector)."""
+    found = []
+    if asked.num_rows and points.num_rows:
+        asked, points = (t.combine_chunks() for t in (asked, points))
+        best = Best(asked["query_id"].to_numpy(), asked["query_vector"].chunk(0), k, metric, _UNEQUAL[metric], skip_self)
+        best.add(points["id"].to_numpy(), points["vector"].chunk(0))
+        found = list(best.batches())
+    return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
+
+
 def recommend(df: DataFrame, seed_id, k: int = 10, metric: str = "cosine", id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """The points nearest to the one of that id, without itself; none if there is no such point."""
     seed = df.filter(F.col(id_col) == seed_id).select(F.col(vector_col).alias("seed_vector")).limit(1)

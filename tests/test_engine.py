@@ -4,8 +4,10 @@ import glob
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from nearfield.functions import geo as G
 from nearfield.functions import text as X
 from nearfield.functions import vectors as V
-from nearfield.operators import ann, facets, fusion, hybrid, ingest, retrieval, search, visual
+from nearfield.operators import ann, blocks, facets, fusion, hybrid, ingest, retrieval, search, visual
 from nearfield.operators import filters as P
 from nearfield.operators import quantize as Z
 from nearfield.plans import catalog as M
@@ -90,6 +92,73 @@ def test_batch_is_single_search(spark):
     assert search.nearest_batch(df, queries, 7, "no such").collect() == search.nearest_batch(df, queries, 7, "cosine").collect()
 
 
+def lists(matrix):
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
+
+
+def test_blocks_are_brute_force():
+    """Every metric, with copies, zero vectors and very small or large values, in tiles that don't divide the block."""
+    rng = np.random.default_rng(3)
+    old = blocks.POINTS, blocks.QUERIES, blocks.FIRST
+    blocks.POINTS, blocks.QUERIES, blocks.FIRST = 700, 30, 90
+    try:
+        for dims, scale in ((16, 1), (2, 1), (16, 1e-20), (16, 1e18)):
+            x = (rng.normal(size=(1500, dims)) * scale).astype(np.float32)
+            x[100:160], x[200] = x[0], 0
+            ids, asked = rng.permutation(len(x)).astype(np.int64), np.arange(0, len(x), 15)
+            for metric in V.METRICS:
+                for skip in (False, True):
+                    best = blocks.Best(ids[asked], lists(x[asked]), 7, metric, 0.0, skip)
+                    for lo in range(0, len(x), 600):
+                        best.add(ids[lo : lo + 600], lists(x)[lo : lo + 600])
+                    for n, i in enumerate(asked):
+                        scores = blocks.pair_scores(np.repeat(x[i][None].astype(float), len(x), 0), x.astype(float), metric)
+                        scores = np.where(ids == ids[i], -np.inf, scores) if skip else scores
+                        assert best.ids[n].tolist() == ids[np.lexsort((ids, -scores))[:7]].tolist(), (dims, scale, metric, skip)
+    finally:
+        blocks.POINTS, blocks.QUERIES, blocks.FIRST = old
+
+
+def traced_mb(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_blocks_is_bounded():
+    """Three times the points take no more memory than their own; a tile of all of them would be hundreds of MB."""
+    x = np.random.default_rng(4).normal(size=(60_000, 16)).astype(np.float32)
+
+    def search_of(n):
+        ids = np.arange(n)
+        return lambda: search.best_of_blocks(pa.table({"query_id": ids[:1000], "query_vector": lists(x[:1000])}), pa.table({"id": ids, "vector": lists(x[:n])}), 20, "euclidean", True)
+
+    assert traced_mb(search_of(60_000)) < 60 and traced_mb(search_of(60_000)) < traced_mb(search_of(20_000)) + 20
+
+
+def test_cells_in_parts_are_whole_cells(spark):
+    """Cells cut into parts give the rows that whole ones do."""
+    df = points(spark, "/root/testdata/sf0.001").filter("id < 200").cache()
+    centroids = ann.train_cells(df, 4)
+    cells, queries = ann.with_cells(df, centroids), df.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+    def rows():
+        return {(r.query_id, r.rank, r.id) for r in ann.cell_search_batch(cells, queries, centroids, 5, 2).collect()}
+
+    old, whole = search.BROADCAST_BYTES, rows()
+    try:
+        search.BROADCAST_BYTES = 10_000
+        assert rows() == whole and len(whole) == 1000
+        # All cells are the exact search.
+        exact = {(r.query_id, r.rank, r.id) for r in search.nearest_batch(df, queries, 5).collect()}
+        assert {(r.query_id, r.rank, r.id) for r in ann.cell_search_batch(cells, queries, centroids, 5, 4).collect()} == exact
+    finally:
+        search.BROADCAST_BYTES = old
+
+
 def test_batch_of_unequal_lengths(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 5.0]), (4, []), (5, None)], "id bigint, vector array<double>")
     queries = df.filter("id IN (1, 3)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
