@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +105,41 @@ def hashed_embedding(text: Column, dims: int = 64, stop_words: tuple[str, ...] =
         return pd.Series(out)
 
     return count(tokens(text, stop_words))
+
+
+#: Words and rows of a slice of an Arrow batch, and words whose hash is known, at most.
+WORDS, ROWS, KNOWN = 1 << 17, 1 << 11, 1 << 16
+
+
+def word_slices(words: pa.Array) -> Iterator[pa.Array]:
+    """Lists of words in slices of ``WORDS`` words and ``ROWS`` rows at most, one longer list being a slice of its own, so that work on a batch takes a slice's memory."""
+    ends = np.cumsum(pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(words):
+        hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + WORDS, "right"))
+        hi = max(lo + 1, min(hi, lo + ROWS))
+        yield words.slice(lo, hi - lo)
+        lo = hi
+
+
+class HashedWords:
+    """Numbers below ``n`` of words, by the first four bytes of their MD5; those of some words are kept."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.known: dict[str, int] = {}
+
+    def _number(self, word: str) -> int:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            found = self.known[word] = int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % self.n
+        return found
+
+    def of_rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number) of every word of lists of words."""
+        coded = words.flatten().dictionary_encode()
+        numbers = np.array([self._number(w) for w in coded.dictionary.to_pylist()], np.int64)
+        row = np.repeat(np.arange(len(words)), pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False))
+        return row, numbers[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)

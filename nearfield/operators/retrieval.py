@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping, Sequence
-from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.functions.text import STOP_WORDS, chunks, n_chunks, n_tokens, occurrences, tokens
+from nearfield.functions.text import STOP_WORDS, HashedWords, chunks, n_chunks, n_tokens, occurrences, tokens, word_slices
 
 K1, B = 1.2, 0.75
 
@@ -134,23 +133,24 @@ def sparse_search(index: DataFrame, query: Mapping[int, float], k: int = 10, whe
 def hashed_terms(docs: DataFrame, dims: int = 4096, id_col: str = "id", text_col: str = "text", only: Sequence[int] | None = None) -> DataFrame:
     """(id, dim, weight): a sparse vector of each text, its words hashed to dimensions and counted; of some dimensions if ``only``.
 
-    Words are cut in the JVM, and counted for each text in Arrow batches, every different word of a batch being hashed
-    once; nothing is shuffled. Ids are unique, as in a collection.
+    Words are cut in the JVM, and counted for each text in Arrow batches, a slice of a batch at a time; nothing is
+    shuffled. Ids are unique, as in a collection.
     """
     wanted = None if only is None else np.unique(np.array(list(only), np.int64))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim_of = HashedWords(dims)
         for batch in batches:
-            words = batch.column(1)
-            coded = words.flatten().dictionary_encode()
-            dim_of = np.array([int(md5(w.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()], np.int64)
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-            dim = dim_of[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-            if wanted is not None:
-                some = np.isin(dim, wanted)
-                row, dim = row[some], dim[some]
-            place, n = np.unique(row * dims + dim, return_counts=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place // dims)), pa.array(place % dims), pa.array(n.astype(np.float64))], names=["id", "dim", "weight"])
+            lo = 0
+            for words in word_slices(batch.column(1)):
+                row, dim = dim_of.of_rows(words)
+                if wanted is not None:
+                    some = np.isin(dim, wanted)
+                    row, dim = row[some], dim[some]
+                place, n = np.unique(row * dims + dim, return_counts=True)
+                ids = batch.column(0).take(pa.array(lo + place // dims))
+                lo += len(words)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(place % dims), pa.array(n.astype(np.float64))], names=["id", "dim", "weight"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return spread(docs).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).mapInArrow(run, f"id {kind}, dim bigint, weight double")

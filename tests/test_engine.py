@@ -5,6 +5,8 @@ import math
 import random
 import re
 import tracemalloc
+from functools import partial
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,46 @@ def test_memory_of_blocks_is_bounded():
     assert traced_mb(search_of(60_000)) < 60 and traced_mb(search_of(60_000)) < traced_mb(search_of(20_000)) + 20
 
 
+def long_batch(n):
+    """A batch of n texts of about 500 words each."""
+    rng = np.random.default_rng(5)
+    words = pa.array([f"word{i}" for i in range(5000)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * 500, pa.int32()), words.take(pa.array(rng.integers(0, 5000, 500 * n))))
+
+
+def python_function(monkeypatch, make):
+    """The function over Arrow batches that ``make`` hands to ``mapInArrow``."""
+    taken = []
+    kept = type(make.args[0]).mapInArrow
+
+    def catch(df, run, schema, *more):
+        taken.append(run)
+        return kept(df, run, schema, *more)
+
+    monkeypatch.setattr(type(make.args[0]), "mapInArrow", catch)
+    make()
+    return taken[-1]
+
+
+@pytest.mark.parametrize(("make", "most"), [(lambda df: retrieval.hashed_terms(df), 40)])
+def test_batches_of_texts_in_bounded_memory(spark, monkeypatch, make, most):
+    """What a batch of 3,000 long texts takes beside itself is that of a slice."""
+    run = python_function(monkeypatch, partial(make, spark.createDataFrame([(1, "a b")], "id bigint, text string")))
+    words = long_batch(3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(words))), words], names=["id", "words"])
+    assert traced_mb(lambda: [None for _ in run(iter([batch]))]) < most
+
+
+def test_embeddings_in_bounded_memory():
+    words = long_batch(3000)
+    parts = list(X.word_slices(words))
+    assert sum(map(len, parts)) == 3000 and max(len(p.flatten()) for p in parts) <= X.WORDS
+    hashed = X.HashedWords(128)
+    assert traced_mb(lambda: [hashed.of_rows(p) for p in X.word_slices(words)] and None) < 40
+    rows = pa.array([["x"] * (X.WORDS + 5), [], ["x", "y"], *[["z"]] * (X.ROWS + 3)])
+    assert [len(p) for p in X.word_slices(rows)] == [1, X.ROWS, 5] and pa.concat_arrays([p for p in X.word_slices(rows)]).equals(rows)
+
+
 def test_cells_in_parts_are_whole_cells(spark):
     """Cells cut into parts give the rows that whole ones do."""
     df = points(spark, "/root/testdata/sf0.001").filter("id < 200").cache()
