@@ -16,10 +16,40 @@ K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, id_col: str = "id", text_col: str = "text", positions: bool = False) -> DataFrame:
-    """(id, term, tf[, positions]): how often each term is in each text, and where, from 0."""
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("pos", "term"))
-    found = [F.count(F.lit(1)).alias("tf")] + ([F.sort_array(F.collect_list("pos")).alias("positions")] if positions else [])
-    return words.groupBy("id", "term").agg(*found)
+    """(id, term, tf[, positions]): how often each term is in each text, and where, from 0.
+
+    Words are cut in the JVM and counted for each text in Arrow batches, a slice of a batch at a time, without a shuffle.
+    Only if an id is there more than once, which a pass over the ids tells, are the texts of an id put together.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lo = 0
+            for words in word_slices(batch.column(1)):
+                coded = words.flatten().dictionary_encode()
+                sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                first, lo = lo, lo + len(words)
+                if not len(coded):
+                    continue
+                key = np.repeat(np.arange(len(words)), sizes) * len(coded.dictionary) + coded.indices.to_numpy()
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                row, term = np.divmod(key[starts], len(coded.dictionary))
+                ends = np.r_[starts, len(key)]
+                columns = [batch.column(0).take(pa.array(first + row)), coded.dictionary.take(pa.array(term)), pa.array(np.diff(ends))]
+                if positions:
+                    place = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[order], pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "term", "tf"] + ["positions"] * positions
+    found = spread(docs).select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).mapInArrow(run, f"id {kind}, term string, tf bigint" + ", positions array<int>" * positions)
+    if docs.groupBy(F.col(id_col).alias("id")).count().filter("count > 1").isEmpty():
+        return found
+    together = [F.sum("tf").alias("tf")] + [F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")] * positions
+    return found.groupBy("id", "term").agg(*together)
 
 
 def field_postings(docs: DataFrame, fields: Mapping[str, float], id_col: str = "id") -> DataFrame:

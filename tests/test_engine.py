@@ -162,7 +162,7 @@ def python_function(monkeypatch, make):
     return taken[-1]
 
 
-@pytest.mark.parametrize(("make", "most"), [(lambda df: retrieval.hashed_terms(df), 40)])
+@pytest.mark.parametrize(("make", "most"), [(lambda df: retrieval.hashed_terms(df), 40), (lambda df: retrieval.postings(df, positions=True), 40)])
 def test_batches_of_texts_in_bounded_memory(spark, monkeypatch, make, most):
     """What a batch of 3,000 long texts takes beside itself is that of a slice."""
     run = python_function(monkeypatch, partial(make, spark.createDataFrame([(1, "a b")], "id bigint, text string")))
@@ -181,6 +181,23 @@ def test_embeddings_in_bounded_memory():
     assert [len(p) for p in X.word_slices(rows)] == [1, X.ROWS, 5] and pa.concat_arrays([p for p in X.word_slices(rows)]).equals(rows)
 
 
+def test_postings_are_not_shuffled(spark):
+    texts = [(i, f"alpha beta alpha t{i} beta alpha") for i in range(40)] + [(90, None), (91, "the of"), (92, " ".join(f"v{i % 300}" for i in range(200_000)))]
+    df = spark.createDataFrame(texts, "id bigint, text string").repartition(16).cache()
+    df.count()
+    found = retrieval.postings(df, positions=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    got = {(r.id, r.term): (r.tf, r.positions) for r in found.collect()}
+    want = {}
+    for i, text in texts:
+        for pos, w in enumerate(w for w in (text or "").split() if w not in X.STOP_WORDS):
+            want.setdefault((i, w), []).append(pos)
+    assert got == {key: (len(p), p) for key, p in want.items()}
+    # Texts of one id, and of none, are put together.
+    twice = spark.createDataFrame([(1, "a1 b1"), (1, "b1 c1 b1"), (None, "a1"), (None, "a1"), (2, "a1")], "id bigint, text string").repartition(3)
+    assert {(r.id, r.term): (r.tf, r.positions) for r in retrieval.postings(twice, positions=True).collect()} == {(1, "a1"): (1, [0]), (1, "b1"): (3, [0, 1, 2]), (1, "c1"): (1, [1]), (None, "a1"): (2, [0, 0]), (2, "a1"): (1, [0])}
+
+
 def test_cells_in_parts_are_whole_cells(spark):
     """Cells cut into parts give the rows that whole ones do."""
     df = points(spark, "/root/testdata/sf0.001").filter("id < 200").cache()
