@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -85,24 +84,21 @@ def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
 def hashed_embedding(text: Column, dims: int = 64, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """A deterministic embedding without a model: words hashed to a dimension and a sign, counted, scaled to length 1.
 
-    A text without words, and null, gives the zero vector. Words are cut in the JVM and counted in Arrow batches.
+    A text without words, and null, gives the zero vector. Words are cut in the JVM and counted in Arrow batches, a slice
+    of a batch at a time.
     """
 
-    @F.pandas_udf("array<double>")
-    def count(words: pd.Series) -> pd.Series:
-        slots: dict[str, int] = {}
-        out = []
-        for own in words:
-            vector = np.zeros(2 * dims)
-            for word in own:
-                slot = slots.get(word)
-                if slot is None:
-                    slot = slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % (2 * dims)
-                vector[slot] += 1
-            vector = vector[:dims] - vector[dims:]
-            length = np.sqrt((vector * vector).sum())
-            out.append(vector / length if length else vector)
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def count(words: pa.Array) -> pa.Array:
+        slot_of, out = HashedWords(2 * dims), [np.zeros((0, dims))]
+        for part in word_slices(words):
+            row, slot = slot_of.of_rows(part)
+            counts = np.bincount(row * 2 * dims + slot, minlength=len(part) * 2 * dims).reshape(len(part), 2 * dims).astype(float)
+            vectors = counts[:, :dims] - counts[:, dims:]
+            lengths = np.sqrt((vectors * vectors).sum(1))[:, None]
+            out.append(np.divide(vectors, lengths, out=vectors, where=lengths > 0))
+        matrix = np.concatenate(out)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * dims, pa.int32()), pa.array(matrix.ravel()))
 
     return count(tokens(text, stop_words))
 

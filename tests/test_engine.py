@@ -181,6 +181,19 @@ def test_embeddings_in_bounded_memory():
     assert [len(p) for p in X.word_slices(rows)] == [1, X.ROWS, 5] and pa.concat_arrays([p for p in X.word_slices(rows)]).equals(rows)
 
 
+def test_embedding_counts_words(spark):
+    """Against a count of the words, in a batch with empty, null and long texts."""
+    texts = ["quick brown fox quick", "", None, "the of", " ".join(f"w{i % 700}x" for i in range(150_000)), "é zzé"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").coalesce(1)
+    for r in df.select("text", X.tokens(F.col("text")).alias("words"), X.hashed_embedding(F.col("text"), 16).alias("v")).collect():
+        want = np.zeros(16)
+        for w in r.words:
+            slot = int(md5(w.encode()).hexdigest()[:8], 16) % 32
+            want[slot % 16] += 1 if slot < 16 else -1
+        want = want / np.linalg.norm(want) if want.any() else want
+        assert np.allclose(r.v, want, atol=1e-12), r.text
+
+
 def test_postings_are_not_shuffled(spark):
     texts = [(i, f"alpha beta alpha t{i} beta alpha") for i in range(40)] + [(90, None), (91, "the of"), (92, " ".join(f"v{i % 300}" for i in range(200_000)))]
     df = spark.createDataFrame(texts, "id bigint, text string").repartition(16).cache()
