@@ -218,14 +218,13 @@ class LeafIndex:
 
 
 def train_leaves(df: DataFrame, depth: int = 6, segments: int = 8, codes: int = 256, vector_col: str = "vector", id_col: str = "id", most: int = SAMPLE) -> LeafIndex:
-    """Tree, centroids and codebooks from a bounded sample."""
-    some = sample(df.filter(F.col(vector_col).isNotNull()), most, id_col)
-    matrix = _matrix(some, vector_col)
+    """Tree, centroids and codebooks from a bounded sample, which is read once."""
+    matrix = _matrix(sample(df.filter(F.col(vector_col).isNotNull()), most, id_col), vector_col)
     tree = build_tree(matrix, depth)
     leaf = tree.leaves(matrix)
     known = np.unique(leaf)
     centres = np.stack([matrix[leaf == x].mean(0) for x in known])
-    return LeafIndex(tree, tuple(map(int, known)), centres, Z.train_product(some, segments, min(codes, len(matrix)), matrix.shape[1], vector_col=vector_col))
+    return LeafIndex(tree, tuple(map(int, known)), centres, Z.code_books(matrix, segments, min(codes, len(matrix))))
 
 
 def with_leaves(df: DataFrame, index: LeafIndex, vector_col: str = "vector") -> DataFrame:

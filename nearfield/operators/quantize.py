@@ -86,6 +86,28 @@ def train_product(df: DataFrame, segments: int, centroids: int, dims: int, order
     return out
 
 
+def code_books(matrix: np.ndarray, segments: int, centroids: int, seed: int = 42, iterations: int = 20) -> list[list[list[float]]]:
+    """Codebooks as of ``train_product``, of rows that are at hand (a bounded sample): k-means of each segment from random rows, in blocks."""
+    if matrix.shape[1] % segments:
+        raise ValueError("the dimension must be a multiple of the segments")
+    width = matrix.shape[1] // segments
+    out = []
+    for s in range(segments):
+        part = np.ascontiguousarray(matrix[:, s * width : (s + 1) * width])
+        centres = part[np.sort(np.random.default_rng(seed).choice(len(part), centroids, replace=False))]
+        code = np.full(len(part), -1)
+        for _ in range(iterations):
+            halves = (centres**2).sum(1) / 2
+            new = np.concatenate([(halves - part[lo : lo + BLOCK] @ centres.T).argmin(1) for lo in range(0, len(part), BLOCK)])
+            if (new == code).all():
+                break
+            code, n = new, np.bincount(new, minlength=centroids)
+            sums = np.stack([np.bincount(code, part[:, i], centroids) for i in range(width)], axis=1)
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        out.append(sorted(centres.tolist()))
+    return out
+
+
 def encode_product(vector: Column, books: Sequence[Sequence[Sequence[float]]]) -> Column:
     """For each segment the number of the nearest code, the lowest of equals; null for null."""
     arrays = [np.asarray(b, float) for b in books]

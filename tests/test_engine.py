@@ -547,6 +547,23 @@ def test_leaf_search(spark):
     assert np.mean([len(found[i] & set(exact[i])) / 10 for i in exact]) >= 0.9
 
 
+def test_leaf_training_reads_the_sample_once(spark):
+    """It ran k-means of each segment as Spark jobs, each over the sorted sample again; now it is one job, and the codes are as near."""
+    df = points(spark, "/root/testdata/sf0.01").cache()
+    matrix = np.array([r.vector for r in df.orderBy("id").collect()], float)
+    spark.sparkContext.setJobGroup("leaf training", "")
+    index = ann.train_leaves(df, 3, codes=32)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("leaf training")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 3
+
+    def error(books):
+        return sum((((matrix[:, 8 * s : 8 * s + 8])[:, None] - np.array(b)[None]) ** 2).sum(2).min(1).sum() for s, b in enumerate(books))
+
+    assert error(index.books) < 1.1 * error(Z.train_product(df, 8, 32, 64))
+    assert index.books == ann.train_leaves(df.repartition(5), 3, codes=32).books and [len(b) for b in index.books] == [32] * 8
+
+
 def test_hybrid_search(spark):
     docs = spark.createDataFrame([(1, "quick brown fox", [1.0, 0.0], "x"), (2, "quick dog", [0.9, 0.1], "y"), (3, "lazy cat", [0.0, 1.0], "x"), (4, None, [0.8, 0.0], "z")], "id bigint, text string, vector array<double>, tag string")
     dense, text = hybrid.Leg("dense", docs, [1.0, 0.0]), hybrid.Leg("text", docs, "quick brown")
