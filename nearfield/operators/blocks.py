@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 QUERIES, POINTS, FIRST, PAIRS, ROWS = 128, 8192, 1024, 1 << 14, 1 << 16
 #: Dimensions up to which a product in double precision costs no more, and the largest value that single precision serves.
 FEW_DIMS, LARGE = 8, 1e15
+#: Points of a tile that is a box.
+NEAR = 512
 FOLDS = ("manhattan", "chebyshev", "minkowski")
 ANGLES = ("cosine", "angular")
 NONE = np.iinfo(np.int64).max
@@ -51,6 +53,21 @@ def first_copies(ids: np.ndarray, matrix: np.ndarray, most: int) -> np.ndarray |
     return np.sort(order[step - starts < most])
 
 
+def boxes(matrix: np.ndarray, most: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Places of the rows in tiles of ``most`` at most, halved in their widest dimension, and each tile's least and highest values."""
+    out, left = [], [np.arange(len(matrix))]
+    while left:
+        at = left.pop()
+        if len(at) <= most:
+            out.append(at)
+            continue
+        part, half = matrix[at], len(at) // 2
+        order = np.argpartition(part[:, int(np.ptp(part, axis=0).argmax())], half)
+        left += [at[order[:half]], at[order[half:]]]
+    low, high = (np.stack([f(matrix[at].astype(np.float64), axis=0) for at in out]) for f in (np.min, np.max))
+    return out, low, high
+
+
 def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """The score of each row of ``a`` with the same row of ``b``, in double precision."""
     if metric in FOLDS:
@@ -145,6 +162,7 @@ class Best:
 
     def __init__(self, q_ids: np.ndarray, queries: pa.Array, k: int, metric: str, unequal: float, skip_self: bool = False):
         self.q_ids, self.parts, self.k, self.metric, self.unequal, self.skip_self = q_ids, matrices(queries), k, metric, unequal, skip_self
+        self.boxes: dict[int, tuple] = {}
         self.ids = np.full((len(q_ids), k), NONE)
         self.scores = np.full((len(q_ids), k), -np.inf)
 
@@ -172,7 +190,30 @@ class Best:
             rows, columns = np.repeat(np.arange(len(at)), len(low)), np.tile(np.arange(len(low)), len(at))
             self._merge(at, rows, low[columns], np.full(len(rows), self.unequal))
 
+    def _near(self, q_at: np.ndarray, q: np.ndarray, ids: np.ndarray, p: np.ndarray) -> None:
+        """In few dimensions tiles are boxes, and a tile of queries meets those that aren't farther than its hits, nearest first."""
+        if q.shape[1] not in self.boxes:
+            self.boxes[q.shape[1]] = boxes(q, QUERIES)
+        q_tiles, q_low, q_high = self.boxes[q.shape[1]]
+        p_tiles, p_low, p_high = boxes(p, NEAR)
+        sides = [(ids[at], _Side(p[at], self.metric, np.float64)) for at in p_tiles]
+        for tile, low, high in zip(q_tiles, q_low, q_high, strict=True):
+            gaps = (np.maximum(0, np.maximum(p_low - high, low - p_high)) ** 2).sum(1)
+            at, own = q_at[tile], None
+            for j in np.argsort(gaps):
+                far = 1.0 - self.scores[at, -1].min()
+                far += 4e-16 * (1 + far)
+                if gaps[j] > (far if self.metric == "squared_euclidean" else far**2) * (1 + 1e-12):
+                    break
+                own = own or _Side(q[tile], self.metric, np.float64)
+                self._tile(at, own, *sides[j])
+
     def _equal(self, q_at: np.ndarray, q: np.ndarray, ids: np.ndarray, p: np.ndarray) -> None:
+        if not len(p) or not len(q):
+            return
+        if 0 < q.shape[1] <= FEW_DIMS and self.metric in ("euclidean", "squared_euclidean"):
+            self._near(q_at, q, ids, p)
+            return
         large = max(np.abs(x).max(initial=0.0) for x in (q, p))
         kind = np.float32 if q.shape[1] > FEW_DIMS and large < LARGE else np.float64
         for lo in range(0, len(p), POINTS):

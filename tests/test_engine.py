@@ -211,6 +211,22 @@ def test_postings_are_not_shuffled(spark):
     assert {(r.id, r.term): (r.tf, r.positions) for r in retrieval.postings(twice, positions=True).collect()} == {(1, "a1"): (1, [0]), (1, "b1"): (3, [0, 1, 2]), (1, "c1"): (1, [1]), (None, "a1"): (2, [0, 0]), (2, "a1"): (1, [0])}
 
 
+def test_few_dimensions_meet_near_boxes_only(monkeypatch):
+    """In the plane a tile of queries meets few tiles of points, with the hits of brute force; all pairs would be 64 x 16 tiles."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.random((8000, 2)), np.repeat(rng.random((4, 2)), 30, 0), np.round(rng.random((72, 2)), 1)])
+    ids, met, tile = rng.permutation(len(x)).astype(np.int64), [], blocks.Best._tile
+    monkeypatch.setattr(blocks.Best, "_tile", lambda *a: (met.append(1), tile(*a)))
+    for metric in ("euclidean", "squared_euclidean"):
+        met.clear()
+        best = blocks.Best(ids, lists(x), 3, metric, 1.0, True)
+        best.add(ids, lists(x))
+        assert len(met) < 300
+        for n in range(0, len(x), 9):
+            scores = np.where(ids == ids[n], -np.inf, blocks.pair_scores(np.repeat(x[n][None], len(x), 0), x, metric))
+            assert best.ids[n].tolist() == ids[np.lexsort((ids, -scores))[:3]].tolist()
+
+
 def test_cells_in_parts_are_whole_cells(spark):
     """Cells cut into parts give the rows that whole ones do."""
     df = points(spark, "/root/testdata/sf0.001").filter("id < 200").cache()
