@@ -141,6 +141,33 @@ def test_memory_of_blocks_is_bounded():
     assert traced_mb(search_of(60_000)) < 60 and traced_mb(search_of(60_000)) < traced_mb(search_of(20_000)) + 20
 
 
+def step_of_pairs(spark, n, metric, skip_self, monkeypatch):
+    """The function over two tables that a search in blocks hands to ``applyInArrow``, and n points."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps as Pairs
+
+    taken = []
+    kept = Pairs.applyInArrow
+    monkeypatch.setattr(Pairs, "applyInArrow", lambda self, f, schema: taken.append(f) or kept(self, f, schema))
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 100)
+    x = np.random.default_rng(6).normal(size=(n, 16)).astype(np.float32)
+    table = pa.table({"id": np.arange(n), "vector": lists(x)})
+    few = spark.createDataFrame(table.slice(0, 20))
+    search.nearest_batch(few, few.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")), 5, metric, skip_self=skip_self)
+    return taken[-1], table
+
+
+def test_pairs_of_blocks_take_bounded_memory(spark, monkeypatch):
+    """A block of 12,000 points that meets itself takes a tile's memory; 1,024 rows of all pairs are 100 MB."""
+    meet, table = step_of_pairs(spark, 12_000, "cosine", True, monkeypatch)
+    asked = table.rename_columns(["query_id", "query_vector"])
+    assert traced_mb(lambda: meet(asked, table)) < 50
+    found = meet(asked.slice(5, 1), table).to_pydict()
+    x = np.array(table["vector"].to_pylist())
+    scores = x @ x[5] / np.linalg.norm(x, axis=1)
+    scores[5] = -np.inf
+    assert [i for _, i in sorted(zip(found["score"], found["id"], strict=True), reverse=True)] == np.argsort(-scores)[:5].tolist()
+
+
 def long_batch(n):
     """A batch of n texts of about 500 words each."""
     rng = np.random.default_rng(5)
