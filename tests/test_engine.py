@@ -198,6 +198,19 @@ def test_batches_of_texts_in_bounded_memory(spark, monkeypatch, make, most):
     assert traced_mb(lambda: [None for _ in run(iter([batch]))]) < most
 
 
+@pytest.mark.parametrize("metric", ["euclidean"])
+def test_batch_searches_take_bounded_memory(spark, monkeypatch, metric):
+    """1,000 queries that travel to a task take a tile's memory for a batch of 10,000 points; all pairs are 80 MB."""
+    x = np.random.default_rng(7).normal(size=(10_000, 16)).astype(np.float32)
+    asked = spark.createDataFrame(pa.table({"query_id": np.arange(1000), "query_vector": lists(x[:1000])}))
+    few = spark.createDataFrame([(1, [0.0] * 16)], "id bigint, vector array<float>")
+    run = python_function(monkeypatch, partial(lambda df: search.nearest_batch(df, asked, 10, metric), few))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), lists(x)], names=["id", "vector"])
+    found = []
+    assert traced_mb(lambda: found.extend(run(iter([batch])))) < 40
+    assert sum(len(b) for b in found) == 10_000 and found[0].column(1)[0].as_py() == 0
+
+
 def test_embeddings_in_bounded_memory():
     words = long_batch(3000)
     parts = list(X.word_slices(words))
