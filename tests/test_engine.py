@@ -198,7 +198,7 @@ def test_batches_of_texts_in_bounded_memory(spark, monkeypatch, make, most):
     assert traced_mb(lambda: [None for _ in run(iter([batch]))]) < most
 
 
-@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan", "chebyshev"])
 def test_batch_searches_take_bounded_memory(spark, monkeypatch, metric):
     """1,000 queries that travel to a task take a tile's memory for a batch of 10,000 points; all pairs are 80 MB."""
     x = np.random.default_rng(7).normal(size=(10_000, 16)).astype(np.float32)
